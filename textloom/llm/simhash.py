@@ -164,3 +164,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     of = of.join(least, "component").select("fp", "least_id")
     named = shared.save(fps.join(of, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "named")
     return table.join(named, "fp").select("doc_id", "fp", "component_id", "digest")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without near-duplicates: of each group, the row with the smallest id stays (of rows with equal ids and texts, one).
+
+    Columns named like the operator's own are untouched: it works on ids and text hashes alone and joins by them.
+    """
+    found = groups(docs, id_col, text_col, **options)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    best = found.groupBy("component_id").agg(F.min(first).alias("best"))
+    keep = best.select(F.col("best.doc_id").alias("_keep_id"), F.col("best.digest").alias("_keep_digest"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(text) == F.col("_keep_digest"))
+    kept = docs.withColumn("_row", F.monotonically_increasing_id()).join(keep, same)
+    # repeated rows of one id and text: one stays
+    twice = kept.groupBy("_keep_id", "_keep_digest").agg(F.min("_row").alias("_least"))
+    joined = kept.join(twice.withColumnRenamed("_keep_id", "_i").withColumnRenamed("_keep_digest", "_j"), F.col("_keep_id").eqNullSafe(F.col("_i")) & (F.col("_keep_digest") == F.col("_j")) & (F.col("_row") == F.col("_least")))
+    return joined.select(*docs.columns)
