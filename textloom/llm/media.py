@@ -8,7 +8,6 @@ a read or a checksum fails.
 
 from __future__ import annotations
 
-import io
 import struct
 import zipfile
 import zlib
@@ -22,7 +21,7 @@ from textloom.llm import shared
 
 #: Bytes that a payload is padded to a multiple of: one image row.
 WIDTH = 576
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def to_image(payload: bytes, width: int = WIDTH, level: int = 1) -> bytes:
@@ -73,26 +72,27 @@ def write_archives(docs: DataFrame, directory: str, id_col: str = "doc_id", text
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, k, n, total = TaskContext.get().partitionId(), 0, 0, 0
-        buffer, done = io.BytesIO(), []
-        out = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
-
-        def close():
-            out.close()
-            done.append((shared.commit(directory, f"part-{part:06d}-{k:05d}.zip", buffer.getbuffer()), n))
+        part, total, done = TaskContext.get().partitionId(), 0, []
+        file, out, n = None, None, 0
 
         for b in batches:
             for name, data in zip(b.column(0), b.column(1)):
                 data = data.as_py()
                 payload = data + b"\xff" * (-len(data) % width or (0 if data else width))
+                if file is None:
+                    file, n = shared.File(directory, f"part-{part:06d}-{len(done):05d}.zip"), 0
+                    out = zipfile.ZipFile(file, "w", zipfile.ZIP_STORED)
                 out.writestr(zipfile.ZipInfo(f"{total:09d}_{name.as_py() or 'null'}.png"), to_image(payload, width))
                 n, total = n + 1, total + 1
-                if buffer.tell() >= shared.ARCHIVE_BYTES:
-                    close()
-                    k, n, buffer = k + 1, 0, io.BytesIO()
-                    out = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
-        if n:
-            close()
+                if file.tell() >= shared.ARCHIVE_BYTES:
+                    out.close()
+                    file.close()
+                    done.append((file.uri, n))
+                    file = None
+        if file is not None:
+            out.close()
+            file.close()
+            done.append((file.uri, n))
         yield pa.RecordBatch.from_pydict({"archive": [a for a, _ in done], "members": [m for _, m in done]}, schema=pa.schema([("archive", pa.string()), ("members", pa.int64())]))
 
     return shared.save(table.mapInArrow(run, "archive string, members long"), "archives")
@@ -212,6 +212,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal texts give equal payloads, media and features. An empty table writes no archive and gives an empty result.
     """
     spark = docs.sparkSession
+    shared.bound_batches(spark)
     directory = shared.folder(spark, "media")
     write_archives(docs, directory, id_col, text_col)
     return described(read_archives(spark, directory))

@@ -11,8 +11,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Archives are closed beyond this many bytes, so that a writer holds one such buffer and a reader has parts to share out.
-ARCHIVE_BYTES = 32 << 20
+#: Archives are closed beyond this many bytes; they are streamed, so a writer holds a member at a time.
+ARCHIVE_BYTES = 128 << 20
+#: Bytes of an Arrow batch on its way to Python: batches of long texts hold fewer rows.
+ARROW_BYTES = 4 << 20
 
 
 def root(spark: SparkSession) -> str:
@@ -52,6 +54,38 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker receives at once, for this session; a smaller bound of the caller's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key)) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+class File:
+    """A file written as a stream under a name of its own, and renamed when it is whole."""
+
+    def __init__(self, directory: str, name: str):
+        self.fs, base = filesystem(directory)
+        self.fs.create_dir(base, recursive=True)
+        self.trial, self.path, self.uri = f"{base}/.{name}.{uuid.uuid4().hex}", f"{base}/{name}", f"{directory}/{name}"
+        self.out, self.at = self.fs.open_output_stream(self.trial), 0
+
+    def write(self, data) -> int:
+        self.out.write(data)
+        self.at += len(data)
+        return len(data)
+
+    def tell(self) -> int:
+        return self.at
+
+    def flush(self) -> None:
+        pass
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.trial, self.path)
+
+
 def commit(directory: str, name: str, data) -> str:
     """Write a file as a whole: readers see nothing or all of it, and a second attempt replaces the first."""
     fs, base = filesystem(directory)
