@@ -55,10 +55,8 @@ def filesystem(uri: str):
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker receives at once, for this session; a smaller bound of the caller's stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key)) > ARROW_BYTES:
-        spark.conf.set(key, str(ARROW_BYTES))
+    """Bound what a Python worker receives at once, for this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 class File:
