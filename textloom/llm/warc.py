@@ -7,7 +7,6 @@ Records are gzip members of their own, so a reader can start at any record's off
 from __future__ import annotations
 
 import hashlib
-import io
 import uuid
 import zlib
 from datetime import UTC, datetime
@@ -61,7 +60,7 @@ class Writer:
         from pyspark import TaskContext
 
         self.directory, self.part, self.k = directory, TaskContext.get().partitionId(), 0
-        self.buffer = io.BytesIO()
+        self.file = None
 
     @property
     def name(self) -> str:
@@ -69,16 +68,19 @@ class Writer:
 
     def add(self, data: bytes) -> tuple[str, int, int]:
         """(archive, offset, stored bytes) of a record."""
-        if self.buffer.tell() >= shared.ARCHIVE_BYTES:
+        if self.file is not None and self.file.tell() >= shared.ARCHIVE_BYTES:
             self.close()
-            self.k, self.buffer = self.k + 1, io.BytesIO()
-        at = self.buffer.tell()
-        self.buffer.write(data)
+            self.k += 1
+        if self.file is None:
+            self.file = shared.File(self.directory, self.name)
+        at = self.file.tell()
+        self.file.write(data)
         return self.name, at, len(data)
 
     def close(self) -> None:
-        if self.buffer.tell():
-            shared.commit(self.directory, self.name, self.buffer.getbuffer())
+        if self.file is not None:
+            self.file.close()
+            self.file = None
 
 
 def _rows(rows: list[tuple]):
@@ -188,6 +190,7 @@ def read(places: DataFrame, directory: str) -> DataFrame:
 def deduplicate(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Archive a table of pages, resolve revisits, write deduplicated archives and read them back: a row for each row of pages."""
     spark = pages.sparkSession
+    shared.bound_batches(spark)
     first, second = shared.folder(spark, "warc"), shared.folder(spark, "warc")
     headers = write_pages(pages, first, id_col, url_col, html_col)
     return read(rewrite(resolve(headers, least_bytes), first, second), second)
