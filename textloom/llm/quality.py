@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm import shared
+
 DIMS = 4096
 SHAPES = 6
 #: The few shape features stand beside thousands of byte pairs: each counts as this many times its spread.
@@ -68,7 +70,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 6000, seed: int = 11) -> np.ndarray:
-    """Fit on rows whose crc32(doc_id) mod 4 is not 2; the expected sample sizes bound what is drawn.
+    """Fit on rows whose crc32(doc_id) mod 4 is not 2, on positives trusted ids and an expected number of unlabelled rows.
 
     labels: doc_id, quality. Rows with null ids, and labels other than 0 and 1, are not learnt from. Without a labelled
     row or a document the model is the prior alone.
@@ -80,10 +82,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
     prior = min(0.98, max(0.02, (count["p"] + 1) / (count["n"] + 2)))
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).where(learn)
     n = table.count()
-    u = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(seed + salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.where((F.col("quality") == 1) & (u(1) < positives / max(count["p"], 1))).select("doc_id").distinct()
-    good = table.join(drawn, "doc_id").select("text", F.lit(1).alias("y"))
-    web = table.where(u(2) < unlabelled / max(n, 1)).select("text", F.lit(0).alias("y"))
+    shared.bound_batches(docs.sparkSession)
+    # ids drawn by hash: as many at most as asked for, so they can be sent to every task
+    drawn = known.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(positives)
+    good = table.join(F.broadcast(drawn), "doc_id").select("text", F.lit(1).alias("y"))
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    web = table.where(chance < unlabelled / max(n, 1)).select("text", F.lit(0).alias("y"))
 
     def vectors(batches):
         import pyarrow as pa
@@ -101,7 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
             yield pd.DataFrame({"w": [fit(x[y == 1], x[y == 0], prior).tobytes()]})
 
     sample = good.union(web).mapInArrow(vectors, "y int, x binary")
-    found = sample.coalesce(1).mapInPandas(learned, "w binary").collect()
+    # repartitioned, not coalesced: the scan stays parallel and one task gets the drawn vectors alone
+    found = sample.repartition(1).mapInPandas(learned, "w binary").collect()
     return np.frombuffer(found[0]["w"], np.float64) if found else np.append(np.zeros(DIMS + SHAPES), np.log(prior / (1 - prior)))
 
 
