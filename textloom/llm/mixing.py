@@ -36,16 +36,17 @@ def _features(table: DataFrame, keys: list[str]) -> DataFrame:
 def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = 20000, seed: int = 5) -> DataFrame:
     """(doc_id, digest, n_tokens, p array<double>) for each row of docs, written once.
 
-    labels: doc_id, domain; rows with other domains are ignored. The classifier is fitted on about sample labelled rows
-    at most. n_tokens counts words. A text without a word, or a table without labels, gets the labels' shares (uniform
+    labels: doc_id, domain; rows with other domains are ignored. The classifier is fitted on sample labelled ids
+    at most; of several labels of an id the first by name counts. n_tokens counts words. A text without a word, or a table without labels, gets the labels' shares (uniform
     if there are none). digest is xxhash64 of the text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "domain").where(F.col("domain").isin(domains))
     n = known.count()
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    learn = table.join(known.where(chance < sample / max(n, 1)).dropDuplicates(["doc_id"]), "doc_id")
+    # ids drawn by hash: sample of them at most, so they can be sent to every task
+    drawn = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
+    learn = table.join(F.broadcast(drawn), "doc_id")
     per_domain = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)]
     shares = known.agg(*per_domain).first()
     prior = [((shares[f"n{i}"] or 0) + 1) / (n + len(domains)) for i in range(len(domains))]
