@@ -6,7 +6,8 @@ An anchor seen once holds no repeated window, and a segment whose text recurs is
 counts of hashes. Only for anchors with several different segment texts are texts compared: a shard of such texts, of
 bounded size, becomes a suffix automaton with occurrence counts, and the shard's texts are streamed through it for
 matching statistics. A window whose state counts two occurrences or more is repeated. Anchors with more than WIDE texts
-(a phrase that much of the corpus shares) would make a shard of unbounded size: their windows are counted by hash.
+(a phrase that much of the corpus shares) would make a shard of unbounded size: their texts are cut again by anchors
+under other hashes, LEVELS times, and what is still together then is counted by window.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from textloom.llm import shared
 
 Q = 8
 WIDE = 400
+#: How often the texts of an anchor with more are cut by anchors under other hashes.
+LEVELS = 2
 #: Texts of compared segments for each shard.
 SHARD = 2000
 KEY = "doc_id long, digest long"
@@ -32,8 +36,8 @@ def _slices(text: bytes) -> tuple[bytes, list[int], list[bytes]]:
     return b" ".join(words), [0, *accumulate(len(w) + 1 for w in words)], words
 
 
-def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each segment: first window, past the last window, and the hash of their anchor."""
+def anchors(words: list[bytes], window: int, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each segment: first window, past the last window, and the hash of their anchor; each level has hashes of its own."""
     import xxhash
 
     n = len(words) - window + 1
@@ -46,6 +50,7 @@ def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     g = np.zeros(len(words) - q + 1, np.uint64)
     for j in range(q):
         g = g * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(g)]
+    g += np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
     g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     g ^= g >> np.uint64(32)
     # (hash, position) with position below, so that the leftmost of equals wins
@@ -166,10 +171,8 @@ def _ranges(starts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def compared(texts: DataFrame, window: int) -> DataFrame:
+def compared(texts: DataFrame, window: int, level: int = 0) -> DataFrame:
     """Ranges of repeated windows (m, sh, s, e) of segment texts (m, sh, cnt, k, text); k is the number of texts of m."""
-    import pandas as pd
-
     spark = texts.sparkSession
     narrow = texts.where(F.col("k") <= WIDE)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), narrow.count() // SHARD)
@@ -183,6 +186,43 @@ def compared(texts: DataFrame, window: int) -> DataFrame:
         rows = [(m, sh, s, e) for symbols, m, sh in zip(found, pdf.m, pdf.sh) for s, e in _ranges(sa.repeated(symbols, window))]
         return pd.DataFrame(rows, columns=["m", "sh", "s", "e"])
 
+    near = narrow.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard").applyInPandas(automaton, "m long, sh long, s int, e int")
+    wide = texts.where(F.col("k") > WIDE).select("m", "sh", "cnt", "text")
+    if wide.isEmpty():
+        return near
+    return near.union(_anchored_again(wide, window, level + 1) if level < LEVELS else _counted(wide, window))
+
+
+def _anchored_again(wide: DataFrame, window: int, level: int) -> DataFrame:
+    """Cut texts that share an anchor by anchors under other hashes; windows equal before are together again."""
+
+    def cut(batches):
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        for pdf in batches:
+            rows = []
+            for m, sh, cnt, t in zip(pdf.m, pdf.sh, pdf.cnt, pdf.text):
+                joined, at, words = _slices(bytes(t))
+                for a, e, x in zip(*(y.tolist() for y in anchors(words, window, level))):
+                    part = joined[at[a] : at[e + window - 1] - 1]
+                    rows.append((m, sh, cnt, a, e - a, digest(x.to_bytes(8, "little") + int(m).to_bytes(8, "little", signed=True)), digest(part), part))
+            out = pd.DataFrame(rows, columns=["m", "sh", "cnt", "a", "n", "m2", "sh2", "text"])
+            yield out.assign(m2=out.m2.to_numpy(np.uint64).view(np.int64), sh2=out.sh2.to_numpy(np.uint64).view(np.int64))
+
+    parts = shared.save(wide.mapInPandas(cut, "m long, sh long, cnt long, a int, n int, m2 long, sh2 long, text binary"), "parts")
+    classes = parts.groupBy("m2", "sh2").agg(F.sum("cnt").alias("cnt"), F.first("n").alias("n"), F.first("text").alias("text"))
+    kinds = parts.groupBy("m2").agg(F.countDistinct("sh2").alias("k"))
+    classes = shared.save(classes.join(kinds, "m2").select(F.col("m2").alias("m"), F.col("sh2").alias("sh"), "cnt", "k", "n", "text"), "part-classes")
+    whole = classes.where("cnt > 1").select("m", "sh", F.lit(0).alias("s"), F.col("n").alias("e"))
+    ranges = whole.union(compared(classes.where("k > 1").select("m", "sh", "cnt", "k", "text"), window, level))
+    ranges = ranges.select(F.col("m").alias("m2"), F.col("sh").alias("sh2"), "s", "e")
+    return parts.drop("text").join(ranges, ["m2", "sh2"]).select("m", "sh", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
+
+
+def _counted(wide: DataFrame, window: int) -> DataFrame:
+    """Count the windows of texts by their hash: for anchors that no level has told apart."""
+
     def windows(batches):
         import xxhash
 
@@ -193,18 +233,18 @@ def compared(texts: DataFrame, window: int) -> DataFrame:
                 rows += [(m, sh, i, cnt, np.int64(np.uint64(xxhash.xxh3_64_intdigest(joined[at[i] : at[i + window] - 1])))) for i in range(len(words) - window + 1)]
             yield pd.DataFrame(rows, columns=["m", "sh", "s", "cnt", "w"])
 
-    near = narrow.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard").applyInPandas(automaton, "m long, sh long, s int, e int")
-    wide = texts.where(F.col("k") > WIDE).select("m", "sh", "cnt", "text").mapInPandas(windows, "m long, sh long, s int, cnt long, w long")
-    again = wide.groupBy("m", "w").agg(F.sum("cnt").alias("t")).where("t > 1").select("m", "w")
-    return near.union(wide.join(again, ["m", "w"]).select("m", "sh", "s", (F.col("s") + 1).alias("e")))
+    rows = wide.mapInPandas(windows, "m long, sh long, s int, cnt long, w long")
+    again = rows.groupBy("m", "w").agg(F.sum("cnt").alias("t")).where("t > 1").select("m", "w")
+    return rows.join(again, ["m", "w"]).select("m", "sh", "s", (F.col("s") + 1).alias("e"))
 
 
 def repeated_windows(table: DataFrame, window: int) -> DataFrame:
     """(doc_id, digest, ranges): for each id and text with repeated windows, their (first, past the last) positions."""
     found = shared.save(segments(table, window), "segments")
-    twice = found.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
+    # saved, so that the join is of two plain shuffles, and adaptive execution can split an anchor that much of the corpus shares
+    twice = shared.save(found.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "anchors")
     again = shared.save(found.join(twice, "m"), "repeated")
-    shared.drop(found)
+    shared.drop(found, twice)
     classes = again.groupBy("m", "sh").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "digest", "a", "n")).alias("r"))
     kinds = classes.groupBy("m").agg(F.count("*").alias("k"))
     classes = shared.save(classes.join(kinds, "m"), "classes")
@@ -215,8 +255,6 @@ def repeated_windows(table: DataFrame, window: int) -> DataFrame:
     one = table.alias("t").join(wanted.alias("x"), F.col("t.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("t.digest") == F.col("x.digest")))
 
     def texts(batches):
-        import pandas as pd
-
         for pdf in batches:
             rows = []
             for t, wanted in zip(pdf.text, pdf.wanted):
@@ -227,7 +265,7 @@ def repeated_windows(table: DataFrame, window: int) -> DataFrame:
     # rows of one id and text name their segments once each
     text = one.select("t.text", "x.wanted").mapInPandas(texts, "m long, sh long, cnt long, k long, text binary")
     text = shared.save(text.dropDuplicates(["m", "sh"]), "segment-texts")
-    ranges = shared.save(whole.union(compared(text.where("cnt >= 1"), window)), "ranges")
+    ranges = shared.save(whole.union(compared(text, window)), "ranges")
     marked = again.join(ranges, ["m", "sh"]).select("doc_id", "digest", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
     out = shared.save(marked.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "marked")
     shared.drop(again, classes, text, ranges)
@@ -251,6 +289,7 @@ def deduplicate(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_
     Words end at ASCII white space and are not changed; a null text has none. Windows are judged on the input, so every
     copy of a repeated passage goes. Repeated rows count as copies of each other. Columns of these names are replaced.
     """
+    shared.bound_batches(docs.sparkSession)
     table = _table(docs, id_col, text_col)
     marked = repeated_windows(table, window).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "ranges")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -259,8 +298,6 @@ def deduplicate(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_
 
     @F.pandas_udf("struct<kept_text: string, n_words: long, n_removed: long, spans: array<array<int>>>")
     def removed(text, ranges):
-        import pandas as pd
-
         rows = []
         for t, r in zip(text, ranges):
             words = bytes(t).split()
