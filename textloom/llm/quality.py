@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import shared
 
-DIMS = 4096
+DIMS = 2048
 SHAPES = 6
 #: The few shape features stand beside thousands of byte pairs: each counts as this many times its spread.
 WEIGHT = 8.0
@@ -24,7 +24,7 @@ WEIGHT = 8.0
 def pair_ids(text: bytes) -> np.ndarray:
     """A hashed feature for each pair of neighbouring bytes; line ends count as one before and one behind the text."""
     x = np.frombuffer(b"\n" + text + b"\n", np.uint8).astype(np.uint32)
-    return (((x[:-1] << 8) | x[1:]) * np.uint32(2654435761)) >> np.uint32(20)
+    return (((x[:-1] << 8) | x[1:]) * np.uint32(2654435761)) >> np.uint32(21)
 
 
 def shapes(text: bytes) -> np.ndarray:
@@ -40,14 +40,19 @@ def vector(text: bytes) -> np.ndarray:
     return np.concatenate([np.bincount(ids, minlength=DIMS).astype(np.float32) / len(ids), shapes(text)])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.02, decay: float = 1e-3) -> np.ndarray:
-    """Weights (the bias last) of a linear model of relative byte-pair frequencies and shapes, by Adam on the non-negative risk."""
-    everything = np.concatenate([positive, unlabelled])
-    mean, scale = everything.mean(axis=0), everything.std(axis=0) + 1e-4
+def fit(x: np.ndarray, positives: int, prior: float, rounds: int = 400, rate: float = 0.02, decay: float = 1e-3) -> np.ndarray:
+    """Weights (the bias last) of a linear model of relative byte-pair frequencies and shapes, by Adam on the non-negative risk.
+
+    x (float32): positives rows first, then the unlabelled; it is standardised in place, so one copy is held.
+    """
+    mean = x.mean(axis=0, dtype=np.float64)
+    x -= mean.astype(np.float32)
+    scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4
     scale[DIMS:] /= WEIGHT
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    norm = float(np.sqrt((u * u).sum(axis=1).mean())) or 1.0
-    p, u = p / norm, u / norm
+    x /= scale
+    p, u = x[:positives], x[positives:]
+    norm = float(np.sqrt(np.einsum("ij,ij->", u, u) / len(u))) or 1.0
+    x /= np.float32(norm)
     w, b = np.zeros(p.shape[1], np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -69,7 +74,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return np.append(weights, b - float(weights @ mean)).astype(np.float64)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 6000, seed: int = 11) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 5000, seed: int = 11) -> np.ndarray:
     """Fit on rows whose crc32(doc_id) mod 4 is not 2, on positives trusted ids and an expected number of unlabelled rows.
 
     labels: doc_id, quality. Rows with null ids, and labels other than 0 and 1, are not learnt from. Without a labelled
@@ -96,13 +101,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([vector(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], names=["y", "x"])
 
     def learned(batches):
-        x, y = [], []
+        held: dict[int, list] = {1: [], 0: []}
         for pdf in batches:
-            x += [np.frombuffer(v, np.float32) for v in pdf.x]
-            y += list(pdf.y)
-        x, y = np.array(x, np.float32).reshape(-1, DIMS + SHAPES), np.array(y)
-        if (y == 1).any() and (y == 0).any():
-            yield pd.DataFrame({"w": [fit(x[y == 1], x[y == 0], prior).tobytes()]})
+            for y, v in zip(pdf.y, pdf.x):
+                held[y].append(v)
+        counts = {y: len(v) for y, v in held.items()}
+        if counts[0] and counts[1]:
+            x = np.empty((counts[1] + counts[0], DIMS + SHAPES), np.float32)
+            for i, v in enumerate(held.pop(1) + held.pop(0)):
+                x[i] = np.frombuffer(v, np.float32)
+            yield pd.DataFrame({"w": [fit(x, counts[1], prior).tobytes()]})
 
     sample = good.union(web).mapInArrow(vectors, "y int, x binary")
     # repartitioned, not coalesced: the scan stays parallel and one task gets the drawn vectors alone

@@ -12,7 +12,7 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import shared
@@ -175,11 +175,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = groups(docs, id_col, text_col, **options)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     best = found.groupBy("component_id").agg(F.min(first).alias("best"))
-    keep = best.select(F.col("best.doc_id").alias("_keep_id"), F.col("best.digest").alias("_keep_digest"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.xxhash64(text) == F.col("_keep_digest"))
-    kept = docs.withColumn("_row", F.monotonically_increasing_id()).join(keep, same)
-    # repeated rows of one id and text: one stays
-    twice = kept.groupBy("_keep_id", "_keep_digest").agg(F.min("_row").alias("_least"))
-    joined = kept.join(twice.withColumnRenamed("_keep_id", "_i").withColumnRenamed("_keep_digest", "_j"), F.col("_keep_id").eqNullSafe(F.col("_i")) & (F.col("_keep_digest") == F.col("_j")) & (F.col("_row") == F.col("_least")))
-    return joined.select(*docs.columns)
+    keep = best.select(F.coalesce("best.doc_id", F.lit(0)).alias("_keep_id"), F.col("best.none").alias("_keep_none"), F.col("best.digest").alias("_keep_digest"))
+    text, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    rows = docs.select("*", F.coalesce(key, F.lit(0)).alias("_keep_id"), key.isNull().alias("_keep_none"), F.xxhash64(text).alias("_keep_digest"), F.monotonically_increasing_id().alias("_row"))
+    keys = ["_keep_id", "_keep_none", "_keep_digest"]
+    # repeated rows of one id and text are beside each other after the join: one stays, without another shuffle
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy("_row"))
+    return rows.join(keep, keys).withColumn("_one", one).where("_one = 1").select(*docs.columns)
