@@ -109,13 +109,15 @@ def _case(parts: list[tuple[str, str]], other: str) -> str:
  SELECT topic, count(*) AS documents FROM t WHERE topic IS NOT NULL GROUP BY topic""")
 def topic_tags(spark, sf_dir):
     """Topics of each document, counted."""
-    tagged = documents(spark, sf_dir).select(F.explode(classify.topics(T.normalize(F.col("text")), SAMPLE)).alias("topic"))
+    norm = documents(spark, sf_dir).select(T.normalize(F.col("text")).alias("norm"))  # a column of its own, so it is computed once
+    tagged = norm.select(F.explode(classify.topics(F.col("norm"), SAMPLE)).alias("topic"))
     return tagged.groupBy("topic").agg(F.count("*").alias("documents"))
 
 
 @query("lexicon_score", f"WITH n AS (SELECT doc_id, {NORM} AS norm, len(regexp_extract_all(text, '{W}')) AS words FROM documents) SELECT doc_id, {SCORE} + CASE WHEN words >= 120 THEN 2 ELSE 0 END + CASE WHEN words >= 350 THEN 2 ELSE 0 END AS score FROM n")
 def lexicon_score(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", classify.score(T.normalize(F.col("text")), T.word_count(F.col("text")), F.lit(0.0), SAMPLE).alias("score"))
+    rows = documents(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("norm"), T.word_count(F.col("text")).alias("words"))
+    return rows.select("doc_id", classify.score(F.col("norm"), F.col("words"), F.lit(0.0), SAMPLE).alias("score"))
 
 
 @query("section_type", f"WITH n AS (SELECT doc_id, {NORM} AS norm FROM documents) SELECT doc_id, " + _case([(f"({sql_hits('substr(norm, 1, 500)', ws)}) > 0", name) for name, ws in SAMPLE.sections.items()] + [(f"{SCORE} >= 5", "clinical_content")], "unknown") + " AS section_type FROM n")
