@@ -183,7 +183,8 @@ def compared(texts: DataFrame, window: int, level: int = 0) -> DataFrame:
         for symbols, cnt in zip(found, pdf.cnt):
             sa.add(symbols, int(cnt))
         sa.finish()
-        rows = [(m, sh, s, e) for symbols, m, sh in zip(found, pdf.m, pdf.sh) for s, e in _ranges(sa.repeated(symbols, window))]
+        # a text that comes twice is repeated throughout already
+        rows = [(m, sh, s, e) for symbols, m, sh, cnt in zip(found, pdf.m, pdf.sh, pdf.cnt) if cnt == 1 for s, e in _ranges(sa.repeated(symbols, window))]
         return pd.DataFrame(rows, columns=["m", "sh", "s", "e"])
 
     near = narrow.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard").applyInPandas(automaton, "m long, sh long, s int, e int")
@@ -217,7 +218,7 @@ def _anchored_again(wide: DataFrame, window: int, level: int) -> DataFrame:
     whole = classes.where("cnt > 1").select("m", "sh", F.lit(0).alias("s"), F.col("n").alias("e"))
     ranges = whole.union(compared(classes.where("k > 1").select("m", "sh", "cnt", "k", "text"), window, level))
     ranges = ranges.select(F.col("m").alias("m2"), F.col("sh").alias("sh2"), "s", "e")
-    return parts.drop("text").join(ranges, ["m2", "sh2"]).select("m", "sh", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
+    return parts.where("cnt = 1").drop("text").join(ranges, ["m2", "sh2"]).select("m", "sh", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
 
 
 def _counted(wide: DataFrame, window: int) -> DataFrame:
@@ -235,7 +236,7 @@ def _counted(wide: DataFrame, window: int) -> DataFrame:
 
     rows = wide.mapInPandas(windows, "m long, sh long, s int, cnt long, w long")
     again = rows.groupBy("m", "w").agg(F.sum("cnt").alias("t")).where("t > 1").select("m", "w")
-    return rows.join(again, ["m", "w"]).select("m", "sh", "s", (F.col("s") + 1).alias("e"))
+    return rows.where("cnt = 1").join(again, ["m", "w"]).select("m", "sh", "s", (F.col("s") + 1).alias("e"))
 
 
 def repeated_windows(table: DataFrame, window: int) -> DataFrame:
@@ -265,9 +266,12 @@ def repeated_windows(table: DataFrame, window: int) -> DataFrame:
     # rows of one id and text name their segments once each
     text = one.select("t.text", "x.wanted").mapInPandas(texts, "m long, sh long, cnt long, k long, text binary")
     text = shared.save(text.dropDuplicates(["m", "sh"]), "segment-texts")
-    ranges = shared.save(whole.union(compared(text, window)), "ranges")
-    marked = again.join(ranges, ["m", "sh"]).select("doc_id", "digest", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
-    out = shared.save(marked.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "marked")
+    # a row for each text, so that the join gives a row for each segment at most
+    ranges = whole.union(compared(text, window)).groupBy("m", "sh").agg(F.collect_list(F.struct("s", "e")).alias("r"))
+    ranges = shared.save(ranges, "ranges")
+    own = F.transform("r", lambda x: F.struct((F.col("a") + x["s"]).alias("s"), (F.col("a") + x["e"]).alias("e")))
+    marked = again.join(ranges, ["m", "sh"]).select("doc_id", "digest", own.alias("r"))
+    out = shared.save(marked.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("r")).alias("ranges")), "marked")
     shared.drop(again, classes, text, ranges)
     return out
 
