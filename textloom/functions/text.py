@@ -32,9 +32,9 @@ class Patterns:
 
 
 def _folding() -> tuple[str, str, list[tuple[str, str]]]:
-    """Characters below U+0250 whose compatibility decomposition, without marks, differs: one to one, and one to several."""
+    """Characters below U+0250, and Latin ligatures, whose compatibility decomposition, without marks, differs: one to one, and one to several."""
     one, several = {}, []
-    for code in range(0x80, 0x250):
+    for code in [*range(0x80, 0x250), *range(0xFB00, 0xFB07)]:
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
         if plain != chr(code):
             if len(plain) == 1:
@@ -48,7 +48,7 @@ _FROM, _TO, _SEVERAL = _folding()
 
 
 def fold(c: Column) -> Column:
-    """Compatibility decomposition without marks, exact below U+0250; other marks are dropped by class."""
+    """Compatibility decomposition without marks, exact below U+0250 and for Latin ligatures; other marks are dropped by class."""
     c = F.translate(c, _FROM, _TO)
     for a, b in _SEVERAL:
         c = F.replace(c, F.lit(a), F.lit(b))

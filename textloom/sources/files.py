@@ -34,8 +34,8 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 def report(row: DataFrame) -> str:
     """A one-row table as indented JSON."""
-    found = row.limit(1).toJSON().collect() if not row.isEmpty() else ["{}"]
-    return json.dumps(json.loads(found[0]), indent=2, ensure_ascii=False)
+    found = row.select(F.to_json(F.struct("*")).alias("json")).first()
+    return json.dumps(json.loads(found.json if found else "{}"), indent=2, ensure_ascii=False)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
