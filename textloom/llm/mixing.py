@@ -67,7 +67,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: i
     scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(words, F.lit(1.0))) / F.col("copies_in")
     z = [F.lit(float(np.log(p))) + F.coalesce(F.col(f"s{i}") * scale, F.lit(0.0)) for i, p in enumerate(prior)]
     joined = joined.select("doc_id", "digest", "copies_in", words.cast("long").alias("n_tokens"), *[x.alias(f"z{i}") for i, x in enumerate(z)])
-    top = F.greatest(*[F.col(f"z{i}") for i in range(len(z))])
+    top = F.array_max(F.array(*[F.col(f"z{i}") for i in range(len(z))]))
     e = [F.exp(F.col(f"z{i}") - top) for i in range(len(z))]
     total = sum(e[1:], e[0])
     done = joined.select("doc_id", "digest", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies_in").cast("int"))).alias("_n"), F.array(*[x / total for x in e]).alias("p"))

@@ -119,10 +119,9 @@ def resolve(headers: DataFrame, least_bytes: int = 1000) -> DataFrame:
 
     A record that came in as a revisit joins the responses of its digest; without any it stays one, with refers_to null.
     """
-    digests = headers.where((F.col("payload_bytes") >= least_bytes) | (F.col("record_type") == "revisit"))
     key = F.struct(F.col("page_id").isNotNull(), "page_id", "archive", "offset")
-    best = digests.groupBy("payload_digest").agg(F.max(F.when(F.col("record_type") == "response", F.struct(key.alias("key"), "url"))).alias("best"), F.count("*").alias("n"))
-    best = best.where("n > 1 OR best IS NULL").select("payload_digest", F.col("best.key.page_id").alias("to"), F.col("best.url").alias("to_url"), F.col("best.key.archive").alias("to_archive"), F.col("best.key.offset").alias("to_offset"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    best = headers.groupBy("payload_digest").agg(F.max(F.when(F.col("record_type") == "response", F.struct(key.alias("key"), "url"))).alias("best"), F.count("*").alias("n"), F.max((F.col("payload_bytes") >= least_bytes) | (F.col("record_type") == "revisit")).alias("needed"))
+    best = best.where("n > 1 AND needed").select("payload_digest", F.col("best.key.page_id").alias("to"), F.col("best.url").alias("to_url"), F.col("best.key.archive").alias("to_archive"), F.col("best.key.offset").alias("to_offset"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     mine = headers.withColumn("salt", F.pmod(F.xxhash64("archive", "offset"), F.lit(SALTS)).cast("int"))
     joined = mine.join(best, ["payload_digest", "salt"], "left")
     other = ((F.col("payload_bytes") >= least_bytes) | (F.col("record_type") == "revisit")) & F.col("to_archive").isNotNull() & ~((F.col("to_archive") == F.col("archive")) & (F.col("to_offset") == F.col("offset")))
