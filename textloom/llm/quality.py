@@ -74,7 +74,7 @@ def fit(x: np.ndarray, positives: int, prior: float, rounds: int = 400, rate: fl
     return np.append(weights, b - float(weights @ mean)).astype(np.float64)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 5000, seed: int = 11) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 4500, seed: int = 11) -> np.ndarray:
     """Fit on rows whose crc32(doc_id) mod 4 is not 2, on positives trusted ids and an expected number of unlabelled rows.
 
     labels: doc_id, quality. Rows with null ids, and labels other than 0 and 1, are not learnt from. Without a labelled
@@ -108,8 +108,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
         counts = {y: len(v) for y, v in held.items()}
         if counts[0] and counts[1]:
             x = np.empty((counts[1] + counts[0], DIMS + SHAPES), np.float32)
-            for i, v in enumerate(held.pop(1) + held.pop(0)):
-                x[i] = np.frombuffer(v, np.float32)
+            rows = held.pop(0)[::-1] + held.pop(1)[::-1]
+            for i in range(len(x)):
+                x[i] = np.frombuffer(rows.pop(), np.float32)  # each vector is let go as it is copied
             yield pd.DataFrame({"w": [fit(x, counts[1], prior).tobytes()]})
 
     sample = good.union(web).mapInArrow(vectors, "y int, x binary")

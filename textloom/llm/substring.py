@@ -26,7 +26,7 @@ WIDE = 400
 #: How often the texts of an anchor with more are cut by anchors under other hashes.
 LEVELS = 2
 #: Texts of compared segments for each shard.
-SHARD = 2000
+SHARD = 500
 KEY = "doc_id long, digest long"
 
 

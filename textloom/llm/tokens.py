@@ -25,11 +25,18 @@ from textloom.llm import shared
 GROUP_TOKENS = 1 << 21
 
 
+@functools.cache
+def library(path: str):
+    """The library's own tokenizer, which most workers never need."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @functools.cache
 def encoder(path: str):
     """A function from a text to its ids (numpy) for a byte-level BPE file of the tokenizers library; and the id type."""
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -44,7 +51,6 @@ def encoder(path: str):
     in_order = all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges)
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if in_order else None
-    whole = Tokenizer.from_file(path)
     kind = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
 
     def encode(text: str) -> np.ndarray:
@@ -54,7 +60,7 @@ def encoder(path: str):
             except BaseException as e:  # the regex library gives up on some very long runs, with a panic of its own
                 if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
                     raise
-        return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=kind)
+        return np.array(library(path).encode(text, add_special_tokens=False).ids, dtype=kind)
 
     return encode, kind
 
