@@ -66,3 +66,28 @@ def running_sample(pages: DataFrame, until: int = 3000, cut: int = 2000) -> Data
     before = pages.withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).where(F.col("before") < until)
     parts = F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"])
     return before.groupBy("source").agg(F.substring(F.array_join(parts, "\n"), 1, cut).alias("sample"))
+
+
+def cost(rows: DataFrame, input_tokens: Column, output_tokens: Column, input_price: float, output_price: float) -> DataFrame:
+    """Totals of tokens and their price, prices by a million."""
+    out = rows.agg(F.count("*").alias("n"), F.sum(input_tokens).alias("input_tokens"), F.sum(output_tokens).alias("output_tokens"))
+    return out.withColumn("cost", (F.col("input_tokens") * F.lit(input_price) + F.col("output_tokens") * F.lit(output_price)) / F.lit(1e6))
+
+
+def long_rows(records: DataFrame, label: str, arrays: list[str]) -> DataFrame:
+    """Evaluation records of one model as flat rows; arrays are joined by semicolons."""
+    return records.withColumns({c: F.array_join(c, ";") for c in arrays}).withColumn("model", F.lit(label))
+
+
+def combined(*counts: DataFrame) -> DataFrame:
+    """Counters (key, n) added up."""
+    rows = counts[0]
+    for other in counts[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def coverage(before: DataFrame, after: DataFrame, least: float = 0.3) -> DataFrame:
+    """Topics whose share of rows left is under least; both tables: topic, n."""
+    joined = before.join(after.withColumnRenamed("n", "left_n"), "topic", "left")
+    return joined.withColumn("ratio", F.coalesce("left_n", F.lit(0)) / F.col("n")).where(F.col("ratio") < least)

@@ -332,3 +332,35 @@ def table_quality(spark, sf_dir):
 def pair_counts(spark, sf_dir):
     rows = documents(spark, sf_dir).select(classify.pair_count(T.estimate_tokens(F.col("text")), F.lit(0)).alias("n_pairs"))
     return rows.groupBy("n_pairs").agg(F.count("*").alias("documents"))
+
+
+@query("cost_estimate", f"""WITH t AS (SELECT greatest(1, ceil(len(regexp_extract_all(text, '{W}')) * 1.35e0))::BIGINT AS t FROM documents)
+ SELECT count(*) AS n, sum(t)::BIGINT AS input_tokens, sum(300)::BIGINT AS output_tokens, round((sum(t) * 0.25e0 + sum(300) * 2e0) / 1e6, 6) AS cost FROM t""")
+def cost_estimate(spark, sf_dir):
+    rows = documents(spark, sf_dir).select(T.estimate_tokens(F.col("text")).alias("t"))
+    return evaluate.cost(rows, F.col("t"), F.lit(300), 0.25, 2.0).withColumn("cost", F.round("cost", 6))
+
+
+@query("language_counts", "SELECT key, sum(n)::BIGINT AS n FROM (SELECT lang AS key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT role, count(*) FROM conversations GROUP BY role) GROUP BY key")
+def language_counts(spark, sf_dir):
+    one = documents(spark, sf_dir).groupBy(F.col("lang").alias("key")).agg(F.count("*").alias("n"))
+    return evaluate.combined(one, table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("key")).agg(F.count("*").alias("n")))
+
+
+@query("topic_coverage", "WITH b AS (SELECT source AS topic, count(*) AS n FROM documents GROUP BY source), a AS (SELECT source AS topic, count(*) AS left_n FROM documents WHERE n_chars >= 2000 GROUP BY source) SELECT topic, n, coalesce(left_n, 0) AS left_n FROM b LEFT JOIN a USING (topic) WHERE coalesce(left_n, 0) / n::DOUBLE < 0.4e0")
+def topic_coverage(spark, sf_dir):
+    """Sources that keep under 40 % of their documents when short ones go."""
+    count = lambda df: df.groupBy(F.col("source").alias("topic")).agg(F.count("*").alias("n"))
+    docs = documents(spark, sf_dir)
+    return evaluate.coverage(count(docs), count(docs.where("n_chars >= 2000")), 0.4).select("topic", "n", F.coalesce("left_n", F.lit(0)).alias("left_n"))
+
+
+@query("qa_ids", "SELECT conv_id, printf('%s_qa_%03d', conv_id::VARCHAR, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS qa_id FROM conversations")
+def qa_ids(spark, sf_dir):
+    return evaluate.explode_pairs(evaluate.messages(table(spark, sf_dir, "conversations")), "conv_id", "messages").select("conv_id", "qa_id")
+
+
+@query("running_samples", f"""WITH {PAGED}, b AS (SELECT source, page, text, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+ SELECT source, md5(substr(string_agg(text, chr(10) ORDER BY page), 1, 2000)) AS sample FROM b WHERE before < 3000 GROUP BY source""")
+def running_samples(spark, sf_dir):
+    return evaluate.running_sample(corpus.paged(documents(spark, sf_dir))).select("source", F.md5("sample").alias("sample"))
