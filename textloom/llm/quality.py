@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import shared
 
-DIMS = 2048
+DIMS = 4096
 SHAPES = 6
 #: The few shape features stand beside thousands of byte pairs: each counts as this many times its spread.
 WEIGHT = 8.0
@@ -24,7 +24,7 @@ WEIGHT = 8.0
 def pair_ids(text: bytes) -> np.ndarray:
     """A hashed feature for each pair of neighbouring bytes; line ends count as one before and one behind the text."""
     x = np.frombuffer(b"\n" + text + b"\n", np.uint8).astype(np.uint32)
-    return (((x[:-1] << 8) | x[1:]) * np.uint32(2654435761)) >> np.uint32(21)
+    return (((x[:-1] << 8) | x[1:]) * np.uint32(2654435761)) >> np.uint32(20)
 
 
 def shapes(text: bytes) -> np.ndarray:
@@ -40,19 +40,38 @@ def vector(text: bytes) -> np.ndarray:
     return np.concatenate([np.bincount(ids, minlength=DIMS).astype(np.float32) / len(ids), shapes(text)])
 
 
-def fit(x: np.ndarray, positives: int, prior: float, rounds: int = 400, rate: float = 0.02, decay: float = 1e-3) -> np.ndarray:
+class Rows:
+    """Vectors in one float32 matrix that is filled in place; a large matrix goes back to the system when it is let go."""
+
+    def __init__(self, expected: int):
+        self.held, self.n = np.empty((max(1, expected), DIMS + SHAPES), np.float32), 0
+
+    def add(self, vector: np.ndarray) -> None:
+        if self.n == len(self.held):
+            self.held = np.concatenate([self.held, np.empty((1 + self.n // 8, DIMS + SHAPES), np.float32)])
+        self.held[self.n] = vector
+        self.n += 1
+
+    def matrix(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+def fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.02, decay: float = 1e-3) -> np.ndarray:
     """Weights (the bias last) of a linear model of relative byte-pair frequencies and shapes, by Adam on the non-negative risk.
 
-    x (float32): positives rows first, then the unlabelled; it is standardised in place, so one copy is held.
+    p, u (float32): vectors of positives and of unlabelled rows; they are standardised in place, so one copy is held.
     """
-    mean = x.mean(axis=0, dtype=np.float64)
-    x -= mean.astype(np.float32)
-    scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4
+    n = len(p) + len(u)
+    mean = (p.sum(axis=0, dtype=np.float64) + u.sum(axis=0, dtype=np.float64)) / n
+    for x in (p, u):
+        x -= mean.astype(np.float32)
+    scale = np.sqrt((np.einsum("ij,ij->j", p, p) + np.einsum("ij,ij->j", u, u)) / n) + 1e-4
     scale[DIMS:] /= WEIGHT
-    x /= scale
-    p, u = x[:positives], x[positives:]
+    for x in (p, u):
+        x /= scale
     norm = float(np.sqrt(np.einsum("ij,ij->", u, u) / len(u))) or 1.0
-    x /= np.float32(norm)
+    for x in (p, u):
+        x /= np.float32(norm)
     w, b = np.zeros(p.shape[1], np.float32), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -74,7 +93,7 @@ def fit(x: np.ndarray, positives: int, prior: float, rounds: int = 400, rate: fl
     return np.append(weights, b - float(weights @ mean)).astype(np.float64)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 4500, seed: int = 11) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 6000, seed: int = 11) -> np.ndarray:
     """Fit on rows whose crc32(doc_id) mod 4 is not 2, on positives trusted ids and an expected number of unlabelled rows.
 
     labels: doc_id, quality. Rows with null ids, and labels other than 0 and 1, are not learnt from. Without a labelled
@@ -97,25 +116,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     def vectors(batches):
         import pyarrow as pa
 
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([vector(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], names=["y", "x"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([vector(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], names=["y", "x"])
 
     def learned(batches):
-        held: dict[int, list] = {1: [], 0: []}
-        for pdf in batches:
-            for y, v in zip(pdf.y, pdf.x):
-                held[y].append(v)
-        counts = {y: len(v) for y, v in held.items()}
-        if counts[0] and counts[1]:
-            x = np.empty((counts[1] + counts[0], DIMS + SHAPES), np.float32)
-            rows = held.pop(0)[::-1] + held.pop(1)[::-1]
-            for i in range(len(x)):
-                x[i] = np.frombuffer(rows.pop(), np.float32)  # each vector is let go as it is copied
-            yield pd.DataFrame({"w": [fit(x, counts[1], prior).tobytes()]})
+        import pyarrow as pa
+
+        held = {1: Rows(positives), 0: Rows(unlabelled)}
+        for b in batches:
+            for y, v in zip(b.column("y").to_pylist(), b.column("x")):
+                held[y].add(np.frombuffer(v.as_buffer(), np.float32))
+        if held[0].n and held[1].n:
+            yield pa.RecordBatch.from_arrays([pa.array([fit(held[1].matrix(), held[0].matrix(), prior).tobytes()], pa.binary())], names=["w"])
 
     sample = good.union(web).mapInArrow(vectors, "y int, x binary")
     # repartitioned, not coalesced: the scan stays parallel and one task gets the drawn vectors alone
-    found = sample.repartition(1).mapInPandas(learned, "w binary").collect()
+    found = sample.repartition(1).mapInArrow(learned, "w binary").collect()
     return np.frombuffer(found[0]["w"], np.float64) if found else np.append(np.zeros(DIMS + SHAPES), np.log(prior / (1 - prior)))
 
 
