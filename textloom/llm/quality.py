@@ -41,19 +41,33 @@ def vector(text: bytes) -> np.ndarray:
 
 
 class Rows:
-    """Vectors in one float32 matrix that is filled in place; a large matrix goes back to the system when it is let go."""
+    """Vectors by their values other than zero, which are few; made one float32 matrix of chosen columns when all are there."""
 
-    def __init__(self, expected: int):
-        self.held, self.n = np.empty((max(1, expected), DIMS + SHAPES), np.float32), 0
+    def __init__(self):
+        self.at, self.values, self.seen = [], [], np.zeros(DIMS + SHAPES, bool)
 
     def add(self, vector: np.ndarray) -> None:
-        if self.n == len(self.held):
-            self.held = np.concatenate([self.held, np.empty((1 + self.n // 8, DIMS + SHAPES), np.float32)])
-        self.held[self.n] = vector
-        self.n += 1
+        at = np.nonzero(vector)[0].astype(np.uint16)
+        self.seen[at] = True
+        self.at.append(at)
+        self.values.append(vector[at])
 
-    def matrix(self) -> np.ndarray:
-        return self.held[: self.n]
+    def matrix(self, used: np.ndarray) -> np.ndarray:
+        """The columns used, in order; the rows are let go."""
+        to = np.cumsum(used) - 1
+        out = np.zeros((len(self.at), int(used.sum())), np.float32)
+        for row, at, values in zip(out, self.at, self.values):
+            row[to[at]] = values
+        self.at, self.values = [], []
+        return out
+
+
+def fit_rows(p: Rows, u: Rows, prior: float) -> np.ndarray:
+    """fit over the columns that any row has: one that is zero in all rows is constant, and its weight stays zero."""
+    used = p.seen | u.seen
+    used[DIMS:] = True
+    w = fit(p.matrix(used), u.matrix(used), prior)
+    return np.append(np.bincount(np.nonzero(used)[0], w[:-1], DIMS + SHAPES), w[-1])
 
 
 def fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.02, decay: float = 1e-3) -> np.ndarray:
@@ -66,7 +80,7 @@ def fit(p: np.ndarray, u: np.ndarray, prior: float, rounds: int = 400, rate: flo
     for x in (p, u):
         x -= mean.astype(np.float32)
     scale = np.sqrt((np.einsum("ij,ij->j", p, p) + np.einsum("ij,ij->j", u, u)) / n) + 1e-4
-    scale[DIMS:] /= WEIGHT
+    scale[-SHAPES:] /= WEIGHT
     for x in (p, u):
         x /= scale
     norm = float(np.sqrt(np.einsum("ij,ij->", u, u) / len(u))) or 1.0
@@ -124,12 +138,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
     def learned(batches):
         import pyarrow as pa
 
-        held = {1: Rows(positives), 0: Rows(unlabelled)}
+        held = {1: Rows(), 0: Rows()}
         for b in batches:
             for y, v in zip(b.column("y").to_pylist(), b.column("x")):
                 held[y].add(np.frombuffer(v.as_buffer(), np.float32))
-        if held[0].n and held[1].n:
-            yield pa.RecordBatch.from_arrays([pa.array([fit(held[1].matrix(), held[0].matrix(), prior).tobytes()], pa.binary())], names=["w"])
+        if held[0].at and held[1].at:
+            yield pa.RecordBatch.from_arrays([pa.array([fit_rows(held[1], held[0], prior).tobytes()], pa.binary())], names=["w"])
 
     sample = good.union(web).mapInArrow(vectors, "y int, x binary")
     # repartitioned, not coalesced: the scan stays parallel and one task gets the drawn vectors alone
