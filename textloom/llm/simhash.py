@@ -23,21 +23,25 @@ CHUNK = 8192
 BLOCK = 255 * 256  # shingles whose bits are counted at once
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """64 bits over word shingles of the text; A-Z count as a-z, words end at ASCII white space."""
+def shingles(found: list[bytes], words: int, seed: int) -> np.ndarray:
+    """A hash for each run of so many words; fewer words are one run, and no word is none."""
     import xxhash
 
-    found = text.lower().split()
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(found)
     if not found:
-        return 0
-    joined = b" ".join(found)
-    starts = [0, *accumulate(len(w) + 1 for w in found)]
-    n = max(1, len(found) - words + 1)
-    digest = xxhash.xxh64_intdigest
+        return np.array([], dtype=np.uint64)
     if len(found) <= words:
-        hashes = np.array([digest(joined, seed)], dtype=np.uint64)
-    else:
-        hashes = np.fromiter((digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[words:])), dtype=np.uint64, count=n)
+        return np.array([digest(joined, seed)], dtype=np.uint64)
+    starts = [0, *accumulate(len(w) + 1 for w in found)]
+    return np.fromiter((digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[words:])), dtype=np.uint64, count=len(found) - words + 1)
+
+
+def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """64 bits over word shingles of the text; A-Z count as a-z, words end at ASCII white space."""
+    hashes = shingles(text.lower().split(), words, seed)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, n, BLOCK):
         part = hashes[at : at + BLOCK]
@@ -172,7 +176,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Columns named like the operator's own are untouched: it works on ids and text hashes alone and joins by them.
     """
-    found = groups(docs, id_col, text_col, **options)
+    return first_of_each(docs, groups(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group in found (doc_id, digest, component_id), the row of docs with the smallest id."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     best = found.groupBy("component_id").agg(F.min(first).alias("best"))
     keep = best.select(F.coalesce("best.doc_id", F.lit(0)).alias("_keep_id"), F.col("best.none").alias("_keep_none"), F.col("best.digest").alias("_keep_digest"))
