@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import plain
 from textloom.functions import text as T
+from textloom.functions.packs import Pack
 
 
 def paged(documents: DataFrame) -> DataFrame:
@@ -49,39 +50,53 @@ def numbered_ids(chunks: DataFrame, source: Column, order: list) -> DataFrame:
     return chunks.withColumn("chunk_id", F.format_string("%s_%05d", T.slug(source), F.row_number().over(Window.partitionBy(T.slug(source)).orderBy(*order))))
 
 
-def pack_chunks(pages: DataFrame, target: int = 500, most: int = 1200, overlap: int = 100) -> DataFrame:
-    """Paragraphs of a source and section, in page order, packed until the target would be passed.
+def pack_chunks(pages: DataFrame, target: int | None = None, most: int = 1200, overlap: int = 100, pack: Pack = Pack()) -> DataFrame:
+    """Paragraphs of a source and section, in page order, packed until most tokens (or target, if given) would be passed.
 
-    (source, section, chunk, text, pages, token_estimate). A chunk above most tokens carries its last words over; pages
-    come from what it holds. Groups are sources and sections of documents, which one task can hold.
+    (source, section, chunk, text, pages, token_estimate). Sizes before a paragraph are those of the normalised chunk; at the
+    end of a page the raw one counts. Normalisation sees a chunk as one line unless its paragraphs hold line ends, so a
+    noise match empties the chunk, and an emptied chunk is dropped, as in the surveyed rules. A chunk above most tokens
+    carries its last words over, and the last page with them. Groups are sources and sections of documents, which one task
+    can hold; pages with is_kept false are left out.
     """
+    limit = most if target is None else target
 
-    def pack(pdf):
+    def run(pdf):
         import pandas as pd
 
-        estimate = lambda s: max(1, math.ceil(len(s.split()) * 1.35))
-        rows, held, pages_held = [], [], []
+        rows, held, pages_held, n_words = [], [], [], 0
 
         def flush():
-            nonlocal held, pages_held
-            text = " ".join(" ".join(held).split())
+            nonlocal held, pages_held, n_words
+            text = plain.normalize_lm(" ".join(held), pack)
+            n = plain.tokens_of(plain.words(text))
             if text:
-                rows.append((pdf.source.iloc[0], pdf.section.iloc[0], len(rows), text, sorted(set(pages_held)), estimate(text)))
-            tail = " ".join(text.split()[-overlap:]) if estimate(text) > most else ""
+                rows.append((pdf.source.iloc[0], pdf.section.iloc[0], len(rows), text, sorted(set(pages_held)), n))
+            tail = " ".join(text.split()[-overlap:]) if text and overlap > 0 and n > most else ""
             held, pages_held = ([tail], pages_held[-1:]) if tail else ([], [])
-
-        for page, text in pdf.sort_values("page")[["page", "text"]].itertuples(index=False):
-            for block in (b.strip() for b in text.split("\n\n")):
-                if block:
-                    if held and estimate(" ".join([*held, block])) > target:
-                        flush()
-                    held.append(block)
+            n_words = plain.words(tail)
+
+        for page, text in pdf.sort_values("page", kind="stable")[["page", "text"]].itertuples(index=False):
+            text = (text or "").strip()
+            if not text:
+                continue
+            for block in plain.paragraphs(text, pack=pack):
+                more = plain.words(block)
+                # normalisation never adds words, so it is needed only where the raw size passes the limit
+                if held and plain.tokens_of(n_words + more) > limit and plain.tokens_of(plain.words(plain.normalize_lm(" ".join([*held, block]), pack))) > limit:
+                    flush()
+                held.append(block)
+                n_words += more
+                if page:
                     pages_held.append(int(page))
-        if held:
-            flush()
+            if plain.tokens_of(n_words) >= limit:
+                flush()
+        flush()
         return pd.DataFrame(rows, columns=["source", "section", "chunk", "text", "pages", "token_estimate"])
 
-    return pages.select("source", "section", "page", "text").groupBy("source", "section").applyInPandas(pack, "source string, section string, chunk int, text string, pages array<int>, token_estimate int")
+    if "is_kept" in pages.columns:
+        pages = pages.where(F.coalesce("is_kept", F.lit(True)))
+    return pages.select("source", "section", "page", "text").groupBy("source", "section").applyInPandas(run, "source string, section string, chunk int, text string, pages array<int>, token_estimate int")
 
 
 def hold_out(counts: dict[str, int], target: int, least_docs: int = 3) -> list[str]:
