@@ -57,17 +57,32 @@ def is_noise(line: str, pack: Pack = PACK) -> bool:
     return plain in pack.drop_headings or bool(AUTHOR.match(line)) and len(line.split()) > 5 and not any(term in plain for term in pack.terms)
 
 
-def clean_extracted(text: str, pack: Pack = PACK) -> str:
+def without_addresses(text: str) -> str:
     text = re.sub("\r\n|\r|\u2028|\u2029", "\n", text)
     for p in (re.compile("[\ufeff\u200b]"), CONTROL, BROKEN_URL, URL, DOI, EMAIL):
         text = p.sub("", text)
     text = HYPHEN.sub(r"\1\2", text)
-    text = re.sub(r"[ \t]+", " ", re.sub("[•◦▪·]", "- ", text))
-    lines = (line.strip() for line in text.split("\n"))
+    return re.sub(r"[ \t]+", " ", re.sub("[•◦▪·]", "- ", text))
+
+
+def clean_extracted(text: str, pack: Pack = PACK) -> str:
+    lines = (line.strip() for line in without_addresses(text).split("\n"))
     kept = [line for line in lines if not line or not (PAGE_LINE.match(line) or is_noise(line, pack))]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip()
 
 
+def one_line(text: str) -> bool:
+    return not re.search("[\r\n\u2028\u2029]", text)
+
+
+def stays_noise(text: str) -> bool:
+    """Whether one line is noise and stays so whatever follows in it: an address cut across the end reaches less than 64 characters back."""
+    if not one_line(text):
+        return False
+    line = without_addresses(text).strip()
+    return any(m and m.end() <= len(line) - 64 for m in (PHONE.search(line), ADMIN.search(line)))
+
+
 def normalize_lm(text: str, pack: Pack = PACK) -> str:
     return re.sub(r"\s+", " ", clean_extracted(text, pack)).strip()
 

@@ -64,29 +64,38 @@ def pack_chunks(pages: DataFrame, target: int | None = None, most: int = 1200, o
     def run(pdf):
         import pandas as pd
 
-        rows, held, pages_held, n_words = [], [], [], 0
+        rows, held, pages_held, n_words, noise = [], [], [], 0, False
 
         def flush():
-            nonlocal held, pages_held, n_words
-            text = plain.normalize_lm(" ".join(held), pack)
+            nonlocal held, pages_held, n_words, noise
+            text = "" if noise else plain.normalize_lm(" ".join(held), pack)
             n = plain.tokens_of(plain.words(text))
             if text:
                 rows.append((pdf.source.iloc[0], pdf.section.iloc[0], len(rows), text, sorted(set(pages_held)), n))
             tail = " ".join(text.split()[-overlap:]) if text and overlap > 0 and n > most else ""
             held, pages_held = ([tail], pages_held[-1:]) if tail else ([], [])
-            n_words = plain.words(tail)
+            n_words, noise = plain.words(tail), False
+
+        def passes(block):
+            """Whether the chunk with the block is over the limit; noise is set where it is empty whatever follows on its line."""
+            nonlocal noise
+            noise = noise and plain.one_line(block)
+            if not held or noise or plain.tokens_of(n_words + plain.words(block)) <= limit:
+                return False  # normalisation never adds words
+            whole = " ".join([*held, block])
+            text = plain.normalize_lm(whole, pack)
+            noise = not text and plain.stays_noise(whole)
+            return plain.tokens_of(plain.words(text)) > limit
 
         for page, text in pdf.sort_values("page", kind="stable")[["page", "text"]].itertuples(index=False):
             text = (text or "").strip()
             if not text:
                 continue
             for block in plain.paragraphs(text, pack=pack):
-                more = plain.words(block)
-                # normalisation never adds words, so it is needed only where the raw size passes the limit
-                if held and plain.tokens_of(n_words + more) > limit and plain.tokens_of(plain.words(plain.normalize_lm(" ".join([*held, block]), pack))) > limit:
+                if passes(block):
                     flush()
                 held.append(block)
-                n_words += more
+                n_words += plain.words(block)
                 if page:
                     pages_held.append(int(page))
             if plain.tokens_of(n_words) >= limit:
