@@ -7,6 +7,7 @@ files under a name of their own and then renamed, so a second attempt replaces t
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,24 @@ ARROW_BYTES = 4 << 20
 
 
 def root(spark: SparkSession) -> str:
+    """The shared folder as a full URI, so that Spark and a task's own reads and writes mean the same place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return base.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    whole = str(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)).rstrip("/")
+    return re.sub("^file:/+", "file:///", whole)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, or longer ones where a column of the table is called so (case does not count)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -39,12 +54,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
 def drop(*frames: DataFrame) -> None:
     """Delete saved tables that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if "/textloom/" in str(path):
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if "/textloom/" in file:
+                discard(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def discard(spark: SparkSession, directory: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str):

@@ -183,10 +183,10 @@ def first_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
     """Of each group in found (doc_id, digest, component_id), the row of docs with the smallest id."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     best = found.groupBy("component_id").agg(F.min(first).alias("best"))
-    keep = best.select(F.coalesce("best.doc_id", F.lit(0)).alias("_keep_id"), F.col("best.none").alias("_keep_none"), F.col("best.digest").alias("_keep_digest"))
+    *keys, row, one = shared.free(docs, "keep_id", "keep_none", "keep_digest", "row", "one")
+    keep = best.select(F.coalesce("best.doc_id", F.lit(0)).alias(keys[0]), F.col("best.none").alias(keys[1]), F.col("best.digest").alias(keys[2]))
     text, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
-    rows = docs.select("*", F.coalesce(key, F.lit(0)).alias("_keep_id"), key.isNull().alias("_keep_none"), F.xxhash64(text).alias("_keep_digest"), F.monotonically_increasing_id().alias("_row"))
-    keys = ["_keep_id", "_keep_none", "_keep_digest"]
+    rows = docs.select("*", F.coalesce(key, F.lit(0)).alias(keys[0]), key.isNull().alias(keys[1]), F.xxhash64(text).alias(keys[2]), F.monotonically_increasing_id().alias(row))
     # repeated rows of one id and text are beside each other after the join: one stays, without another shuffle
-    one = F.row_number().over(Window.partitionBy(*keys).orderBy("_row"))
-    return rows.join(keep, keys).withColumn("_one", one).where("_one = 1").select(*docs.columns)
+    first_row = F.row_number().over(Window.partitionBy(*keys).orderBy(row))
+    return rows.join(keep, keys).withColumn(one, first_row).where(F.col(one) == 1).select(*docs.columns)

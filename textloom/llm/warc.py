@@ -29,10 +29,15 @@ def record(fields: dict[str, str], payload: bytes, level: int = 1) -> bytes:
     return press.compress("\r\n".join(lines).encode()) + press.compress(payload) + press.compress(b"\r\n\r\n") + press.flush()
 
 
-def fresh(kind: str, page_id, url: str | None, payload_bytes: int, digest: str, refers_to=None, refers_uri=None) -> dict[str, str]:
-    """Headers of a record written now; what the reader needs of a page is in them, so a revisit stands alone."""
+def now() -> str:
+    """The date of a run's records; the driver takes it once, so that a second attempt of a task writes the same bytes."""
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def fresh(record_id: str, date: str, kind: str, page_id, url: str | None, payload_bytes: int, digest: str, refers_to=None, refers_uri=None) -> dict[str, str]:
+    """Headers of a new record; what the reader needs of a page is in them, so a revisit stands alone."""
     clean = lambda x: " ".join((x or "").split())  # noqa: E731  no line ends in a header
-    out = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")}
+    out = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{record_id}>", "WARC-Date": date}
     out |= {"WARC-Target-URI": clean(url)} if url is not None else {}
     out |= {"WARC-Payload-Digest": f"sha1:{digest}", "X-Payload-Length": str(payload_bytes), "Content-Type": "text/html; charset=utf-8"}
     out |= {"X-Page-Id": str(page_id)} if page_id is not None else {}
@@ -54,14 +59,22 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 class Writer:
-    """Archives of bounded size for one task; their names follow the partition, so a second attempt replaces the first."""
+    """Archives of bounded size for one task.
+
+    Names follow the partition, and record ids the directory, the partition and the record's number there: a second
+    attempt of a task writes the same bytes under the same names, whichever of the two ends last.
+    """
 
-    def __init__(self, directory: str):
+    def __init__(self, directory: str, part: int | None = None):
         from pyspark import TaskContext
 
-        self.directory, self.part, self.k = directory, TaskContext.get().partitionId(), 0
+        self.directory, self.part, self.k, self.n = directory, TaskContext.get().partitionId() if part is None else part, 0, 0
         self.file = None
 
+    def record_id(self) -> str:
+        self.n += 1
+        return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{self.directory}/{self.part}/{self.n}"))
+
     @property
     def name(self) -> str:
         return f"part-{self.part:06d}-{self.k:05d}.warc.gz"
@@ -98,6 +111,8 @@ def write_pages(pages: DataFrame, directory: str, id_col: str = "page_id", url_c
     """
     table = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("html"))
 
+    date = now()
+
     def run(batches):
         writer = Writer(directory)
         for b in batches:
@@ -105,7 +120,7 @@ def write_pages(pages: DataFrame, directory: str, id_col: str = "page_id", url_c
             for page, url, html in zip(b.page_id.astype("object"), b.url, b.html):
                 page, payload = None if page is None or page != page else int(page), bytes(html)
                 digest = hashlib.sha1(payload).hexdigest()
-                place = writer.add(record(fresh("response", page, url, len(payload), digest), payload))
+                place = writer.add(record(fresh(writer.record_id(), date, "response", page, url, len(payload), digest), payload))
                 rows.append((*place, page, url, len(payload), digest, "response", None, None))
             yield _rows(rows)
         writer.close()
@@ -134,6 +149,7 @@ def rewrite(resolved: DataFrame, source: str, directory: str) -> DataFrame:
     spark = resolved.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = resolved.repartitionByRange(n, "archive", "offset").sortWithinPartitions("archive", "offset")
+    date = now()
 
     def run(batches):
         fs, base = shared.filesystem(source)
@@ -151,7 +167,7 @@ def rewrite(resolved: DataFrame, source: str, directory: str) -> DataFrame:
                     _, payload = parse(zlib.decompress(file.read(r.stored), 31))
                     if hashlib.sha1(payload).hexdigest() != r.payload_digest:
                         raise ValueError(f"{name} at {r.offset} fails its digest")
-                place = writer.add(record(fresh(r.record_type, page, r.url, r.payload_bytes, r.payload_digest, to, r.refers_uri), payload))
+                place = writer.add(record(fresh(writer.record_id(), date, r.record_type, page, r.url, r.payload_bytes, r.payload_digest, to, r.refers_uri), payload))
                 rows.append((*place, page, r.url, r.payload_bytes, r.payload_digest, r.record_type, to, r.refers_uri))
             yield _rows(rows)
         writer.close()
@@ -187,9 +203,17 @@ def read(places: DataFrame, directory: str) -> DataFrame:
 
 
 def deduplicate(pages: DataFrame, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Archive a table of pages, resolve revisits, write deduplicated archives and read them back: a row for each row of pages."""
+    """Archive a table of pages, resolve revisits, write deduplicated archives and read them back: a row for each row of pages.
+
+    A null html is an empty payload; null ids and urls stay null; repeated rows are records of their own, of which all but
+    one revisit. Columns other than the three are not read. An empty table gives an empty one. The first archives are
+    deleted once the deduplicated ones are written.
+    """
     spark = pages.sparkSession
     shared.bound_batches(spark)
     first, second = shared.folder(spark, "warc"), shared.folder(spark, "warc")
     headers = write_pages(pages, first, id_col, url_col, html_col)
-    return read(rewrite(resolve(headers, least_bytes), first, second), second)
+    places = rewrite(resolve(headers, least_bytes), first, second)
+    shared.discard(spark, first)
+    shared.drop(headers)
+    return read(places, second)
