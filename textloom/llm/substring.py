@@ -5,9 +5,9 @@ windows have equal anchors, so neighbouring windows with one anchor form a segme
 An anchor seen once holds no repeated window, and a segment whose text recurs is repeated throughout; both follow from
 counts of hashes. Only for anchors with several different segment texts are texts compared: a shard of such texts, of
 bounded size, becomes a suffix automaton with occurrence counts, and the shard's texts are streamed through it for
-matching statistics. A window whose state counts two occurrences or more is repeated. Anchors with more than WIDE texts
-(a phrase that much of the corpus shares) would make a shard of unbounded size: their texts are cut again by anchors
-under other hashes, LEVELS times, and what is still together then is counted by window.
+matching statistics. A window whose state counts two occurrences or more is repeated. Anchors with more than WIDE
+segments (a phrase that much of the corpus shares) would make a shard of unbounded size: their texts are cut again by
+anchors under other hashes, LEVELS times, and windows of what is still together then are counted by their words.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ WIDE = 400
 LEVELS = 2
 #: Texts of compared segments for each shard.
 SHARD = 500
+#: Rows of a batch that goes back from Python.
+ROWS = 20_000
 KEY = "doc_id long, digest long"
 
 
@@ -171,8 +173,17 @@ def _ranges(starts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _counts(segments: DataFrame, m: str, sh: str) -> DataFrame:
+    """(m, k, mixed) of the anchors that are seen twice or more: how many segments have it, and whether their texts differ.
+
+    Saved, so that a join with it is of two plain shuffles, and adaptive execution can split an anchor of many segments.
+    """
+    found = segments.groupBy(F.col(m).alias("m")).agg(F.count("*").alias("k"), (F.min(sh) != F.max(sh)).alias("mixed"))
+    return shared.save(found.where("k > 1"), "anchors")
+
+
 def compared(texts: DataFrame, window: int, level: int = 0) -> DataFrame:
-    """Ranges of repeated windows (m, sh, s, e) of segment texts (m, sh, cnt, k, text); k is the number of texts of m."""
+    """Ranges of repeated windows (m, sh, s, e) of segment texts (m, sh, cnt, k, text); m has at most k texts."""
     spark = texts.sparkSession
     narrow = texts.where(F.col("k") <= WIDE)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), narrow.count() // SHARD)
@@ -212,47 +223,47 @@ def _anchored_again(wide: DataFrame, window: int, level: int) -> DataFrame:
             yield out.assign(m2=out.m2.to_numpy(np.uint64).view(np.int64), sh2=out.sh2.to_numpy(np.uint64).view(np.int64))
 
     parts = shared.save(wide.mapInPandas(cut, "m long, sh long, cnt long, a int, n int, m2 long, sh2 long, text binary"), "parts")
-    classes = parts.groupBy("m2", "sh2").agg(F.sum("cnt").alias("cnt"), F.first("n").alias("n"), F.first("text").alias("text"))
-    kinds = parts.groupBy("m2").agg(F.countDistinct("sh2").alias("k"))
-    classes = shared.save(classes.join(kinds, "m2").select(F.col("m2").alias("m"), F.col("sh2").alias("sh"), "cnt", "k", "n", "text"), "part-classes")
-    whole = classes.where("cnt > 1").select("m", "sh", F.lit(0).alias("s"), F.col("n").alias("e"))
-    ranges = whole.union(compared(classes.where("k > 1").select("m", "sh", "cnt", "k", "text"), window, level))
-    ranges = ranges.select(F.col("m").alias("m2"), F.col("sh").alias("sh2"), "s", "e")
+    counts = _counts(parts, "m2", "sh2").withColumnRenamed("m", "m2")
+    whole = parts.groupBy("m2", "sh2").agg(F.sum("cnt").alias("cnt"), F.first("n").alias("n")).where("cnt > 1").select("m2", "sh2", F.lit(0).alias("s"), F.col("n").alias("e"))
+    # a text once for each of its anchors: the rows of an anchor are joined with its count, then equal texts are put together
+    open_ = shared.save(parts.join(counts.where("mixed"), "m2").select("m2", "sh2", "cnt", "k", "text"), "part-texts")
+    texts = open_.groupBy(F.col("m2").alias("m"), F.col("sh2").alias("sh")).agg(F.sum("cnt").alias("cnt"), F.first("k").alias("k"), F.first("text").alias("text"))
+    ranges = compared(shared.save(texts, "part-classes"), window, level)
+    ranges = whole.union(ranges.select(F.col("m").alias("m2"), F.col("sh").alias("sh2"), "s", "e"))
     return parts.where("cnt = 1").drop("text").join(ranges, ["m2", "sh2"]).select("m", "sh", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))
 
 
 def _counted(wide: DataFrame, window: int) -> DataFrame:
-    """Count the windows of texts by their hash: for anchors that no level has told apart."""
+    """Count the windows of texts, word for word: for anchors that no level has told apart."""
 
     def windows(batches):
-        import xxhash
-
         for pdf in batches:
             rows = []
             for m, sh, cnt, t in zip(pdf.m, pdf.sh, pdf.cnt, pdf.text):
                 joined, at, words = _slices(bytes(t))
-                rows += [(m, sh, i, cnt, np.int64(np.uint64(xxhash.xxh3_64_intdigest(joined[at[i] : at[i + window] - 1])))) for i in range(len(words) - window + 1)]
+                rows += [(m, sh, i, cnt, joined[at[i] : at[i + window] - 1]) for i in range(len(words) - window + 1)]
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=["m", "sh", "s", "cnt", "w"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["m", "sh", "s", "cnt", "w"])
 
-    rows = wide.mapInPandas(windows, "m long, sh long, s int, cnt long, w long")
-    again = rows.groupBy("m", "w").agg(F.sum("cnt").alias("t")).where("t > 1").select("m", "w")
-    return rows.where("cnt = 1").join(again, ["m", "w"]).select("m", "sh", "s", (F.col("s") + 1).alias("e"))
+    rows = shared.save(wide.mapInPandas(windows, "m long, sh long, s int, cnt long, w binary"), "windows")
+    again = shared.save(rows.groupBy("w").agg(F.sum("cnt").alias("t")).where("t > 1").select("w"), "again")
+    return rows.where("cnt = 1").join(again, "w").select("m", "sh", "s", (F.col("s") + 1).alias("e"))
 
 
 def repeated_windows(table: DataFrame, window: int) -> DataFrame:
     """(doc_id, digest, ranges): for each id and text with repeated windows, their (first, past the last) positions."""
     found = shared.save(segments(table, window), "segments")
-    # saved, so that the join is of two plain shuffles, and adaptive execution can split an anchor that much of the corpus shares
-    twice = shared.save(found.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "anchors")
-    again = shared.save(found.join(twice, "m"), "repeated")
-    shared.drop(found, twice)
-    classes = again.groupBy("m", "sh").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "digest", "a", "n")).alias("r"))
-    kinds = classes.groupBy("m").agg(F.count("*").alias("k"))
-    classes = shared.save(classes.join(kinds, "m"), "classes")
+    counts = _counts(found, "m", "sh")
+    again = shared.save(found.join(counts, "m"), "repeated")
+    shared.drop(found, counts)
+    first = F.min(F.struct("doc_id", "digest", "a", "n", "k", "mixed"))
+    classes = shared.save(again.groupBy("m", "sh").agg(F.count("*").alias("cnt"), first.alias("r")), "classes")
     # a text that comes twice is repeated throughout, whatever else its anchor has
     whole = classes.where("cnt > 1").select("m", "sh", F.lit(0).alias("s"), F.col("r.n").alias("e"))
-    open_ = classes.where("k > 1")
-    wanted = open_.groupBy(F.col("r.doc_id").alias("doc_id"), F.col("r.digest").alias("digest")).agg(F.collect_list(F.struct("m", "sh", "cnt", "k", F.col("r.a").alias("a"), F.col("r.n").alias("n"))).alias("wanted"))
+    open_ = classes.where("r.mixed")
+    wanted = open_.groupBy(F.col("r.doc_id").alias("doc_id"), F.col("r.digest").alias("digest")).agg(F.collect_list(F.struct("m", "sh", "cnt", F.col("r.k").alias("k"), F.col("r.a").alias("a"), F.col("r.n").alias("n"))).alias("wanted"))
     one = table.alias("t").join(wanted.alias("x"), F.col("t.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("t.digest") == F.col("x.digest")))
 
     def texts(batches):
@@ -261,6 +272,9 @@ def repeated_windows(table: DataFrame, window: int) -> DataFrame:
             for t, wanted in zip(pdf.text, pdf.wanted):
                 joined, at, _ = _slices(bytes(t))
                 rows += [(x["m"], x["sh"], x["cnt"], x["k"], joined[at[x["a"]] : at[x["a"] + x["n"] + window - 1] - 1]) for x in wanted]
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=["m", "sh", "cnt", "k", "text"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["m", "sh", "cnt", "k", "text"])
 
     # rows of one id and text name their segments once each
@@ -291,14 +305,31 @@ def deduplicate(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_
     """docs with kept_text (the words left, joined by one space), n_words, n_removed and spans (of removed words).
 
     Words end at ASCII white space and are not changed; a null text has none. Windows are judged on the input, so every
-    copy of a repeated passage goes. Repeated rows count as copies of each other. Columns of these names are replaced.
+    copy of a repeated passage goes. Repeated rows count as copies of each other; null ids are ids. Columns of these
+    names are replaced, all others are kept. An empty table gives an empty one.
     """
+    rest = [c for c in docs.columns if c.lower() not in ("kept_text", "n_words", "n_removed", "spans")]
+    done, x = _removed(docs, window, id_col, text_col)
+    return done.select(*rest, f"{x}.kept_text", f"{x}.n_words", f"{x}.n_removed", f"{x}.spans")
+
+
+def replaced(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs, whose texts have lost repeated passages; chars_col follows the text, and texts without a loss stay as they are."""
+    done, x = _removed(docs, window, id_col, text_col)
+    lost = F.col(f"{x}.n_removed") > 0
+    text = F.when(lost, F.col(f"{x}.kept_text")).otherwise(F.col(text_col))
+    chars = F.when(lost, F.length(f"{x}.kept_text").cast("long")).otherwise(F.col(chars_col))
+    return done.select(*[text.alias(c) if c == text_col else chars.alias(c) if c == chars_col else c for c in docs.columns])
+
+
+def _removed(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with more columns, and the name of the one with the struct (kept_text, n_words, n_removed, spans)."""
     shared.bound_batches(docs.sparkSession)
     table = _table(docs, id_col, text_col)
-    marked = repeated_windows(table, window).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "ranges")
+    whole, d, g, r, x = shared.free(docs, "whole_text", "key_id", "key_digest", "cut_ranges", "cut")
+    marked = repeated_windows(table, window).select(F.col("doc_id").alias(d), F.col("digest").alias(g), F.col("ranges").alias(r))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rest = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed", "spans")]
-    joined = docs.select(*rest).withColumn("_text", text).join(marked, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("_text") == F.col("_g")), "left")
+    joined = docs.withColumn(whole, text).join(marked, F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(whole) == F.col(g)), "left")
 
     @F.pandas_udf("struct<kept_text: string, n_words: long, n_removed: long, spans: array<array<int>>>")
     def removed(text, ranges):
@@ -314,5 +345,4 @@ def deduplicate(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_
             rows.append((b" ".join(kept).decode(), len(words), len(words) - len(kept), [list(x) for x in cut]))
         return pd.DataFrame(rows, columns=["kept_text", "n_words", "n_removed", "spans"])
 
-    done = joined.withColumn("_x", removed(F.col("_text").cast("binary"), F.col("ranges")))
-    return done.select(*[F.col(c) for c in rest], "_x.kept_text", "_x.n_words", "_x.n_removed", "_x.spans")
+    return joined.withColumn(x, removed(F.col(whole).cast("binary"), F.col(r))), x

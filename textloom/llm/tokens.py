@@ -4,9 +4,9 @@ Ids are those of the ``tokenizers`` file named, without special tokens added, fo
 vocabulary drives a faster byte-level encoder with the same result; where a text holds a special token's string, or the
 fast encoder fails, the library itself encodes it.
 
-Documents longer than the capacity are cut into full sequences where they are encoded; only remainders, each shorter
-than a sequence, are shuffled to groups of about GROUP_TOKENS ids by a hash, so no task's share grows with a document,
-a key or the table.
+Long documents are cut where they are encoded; pieces, none longer than a sequence, are shuffled to groups of about
+GROUP_TOKENS ids by a hash, so no task's share grows with a document, a key or the table. Cost-balanced packing cuts
+into equal pieces of half a sequence at most: a piece of a whole sequence could not be balanced by anything beside it.
 """
 
 from __future__ import annotations
@@ -75,10 +75,9 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def pieces(docs: DataFrame, capacity: int, end_id: int, path: str | None, id_col: str, text_col: str, whole_ids: bool) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids_crc32, ids): each document cut at multiples of the capacity.
-
-    ids is null for full pieces unless whole_ids. A null text is empty: its only id is the end id.
+def pieces(docs: DataFrame, capacity: int, end_id: int, path: str | None, id_col: str, text_col: str, even: bool = False) -> DataFrame:
+    """(doc_id, start, length, doc_tokens, ids_crc32, ids): each document cut at multiples of the capacity, or (even) into
+    as many pieces of lengths that differ by one at most. A null text is empty: its only id is the end id.
     """
     shared.bound_batches(docs.sparkSession)
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -92,10 +91,11 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, path: str | None, id_col
             rows, held = [], 0
             for key, text in zip(b.column(0), b.column(1)):
                 key, ids = key.as_py(), np.append(encode(text.as_py()), kind.type(end_id))
-                for at in range(0, len(ids), capacity):
-                    part = ids[at : at + capacity]
-                    data = part.tobytes() if whole_ids or len(part) < capacity else None
-                    rows.append((key, at, len(part), len(ids), crc(part), data))
+                n = -(-len(ids) // capacity)
+                cuts = [len(ids) * i // n for i in range(n + 1)] if even else [*range(0, len(ids), capacity), len(ids)]
+                for at, end in zip(cuts, cuts[1:]):
+                    part = ids[at:end]
+                    rows.append((key, at, len(part), len(ids), crc(part), part.tobytes()))
                     held += len(part)
                 if held >= 1 << 21:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -114,7 +114,7 @@ def grouped(docs: DataFrame, cut: DataFrame, text_col: str, group_tokens: int) -
 
 
 def balance(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
-    """Cost-balanced packing of pieces shorter than the capacity into as few sequences as their tokens need.
+    """Cost-balanced packing of pieces no longer than the capacity into as few sequences as their tokens need.
 
     A piece of n tokens costs linear * n + quadratic * n * n. Pieces go in descending order, each to the cheapest
     sequence with room for it; one that fits nowhere is cut over the sequences with the most room. Returns
@@ -139,26 +139,24 @@ def pack_balanced(docs: DataFrame, capacity: int = 2048, end_id: int = 1, path:
     """Pack every document into sequences of at most capacity ids, balanced by attention cost; a row for each piece.
 
     (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): each id of each document lies in one piece, and
-    a sequence's pieces follow each other from offset 0. Padding is under one sequence for each group. Repeated rows and
-    null ids are packed as rows of their own. An empty table gives an empty one.
+    a sequence's pieces follow each other from offset 0. Padding is under one sequence for each group. Documents of over
+    half a capacity come as equal pieces, and all pieces go through the balance. A null text is an empty document, of the
+    end id alone. Repeated rows and null ids are packed as rows of their own; other columns are not read. An empty table
+    gives an empty one.
     """
     import pandas as pd
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        base, full = int(pdf.g.iloc[0]) << 32, int((pdf.length == capacity).sum())
-        kind = np.dtype("<u2") if (pdf.ids.str.len() == 2 * pdf.length)[full:].all() else np.dtype("<u4")
-        head = pdf.iloc[:full].assign(sequence_id=base + np.arange(full), offset=0)
-        rest, rows = pdf.iloc[full:], []
-        for i, begin, take, s, offset in balance(rest.length.to_numpy(), capacity, linear, quadratic):
-            r = full + i
-            ids = np.frombuffer(pdf.ids.iat[r], kind)[begin : begin + take]
-            rows.append((pdf.doc_id.iat[r], pdf.start.iat[r] + begin, take, crc(ids), pdf.doc_tokens.iat[r], base + full + s, offset))
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        out = pd.concat([head[names], pd.DataFrame(rows, columns=names)], ignore_index=True) if rows else head[names]
-        return out.astype({"doc_id": "Int64"})
-
-    cut = pieces(docs, capacity, end_id, path, id_col, text_col, False)
+        base, kind = int(pdf.g.iloc[0]) << 32, np.dtype("<u2") if len(pdf.ids.iloc[0]) == 2 * pdf.length.iloc[0] else np.dtype("<u4")
+        rows = []
+        for i, begin, take, s, offset in balance(pdf.length.to_numpy(), capacity, linear, quadratic):
+            whole = take == pdf.length.iat[i]
+            check = pdf.ids_crc32.iat[i] if whole else crc(np.frombuffer(pdf.ids.iat[i], kind)[begin : begin + take])
+            rows.append((pdf.doc_id.iat[i], pdf.start.iat[i] + begin, take, check, pdf.doc_tokens.iat[i], base + s, offset))
+        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
+
+    cut = pieces(docs, max(1, capacity // 2), end_id, path, id_col, text_col, even=True)
     return grouped(docs, cut, text_col, group_tokens).applyInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -214,7 +212,9 @@ def pack_matrices(docs: DataFrame, capacity: int = 2048, end_id: int = 1, pad_id
     Each group is a file of its own in the directory (a new one in the shared folder by default): a matrix of ids, one
     row for each sequence, padded with pad_id. Returned: sequence_id, file, row, n_tokens, doc_ids and starts (of the
     segments, in order), cu_seqlens (0 first, n_tokens last), position_resets (where positions begin at 0 again), and
-    ids_crc32 of the sequence's ids. Documents are cut only if longer than the capacity, without loss.
+    ids_crc32 of the sequence's ids. Documents are cut only if longer than the capacity, without loss. A null text is an
+    empty document, of the end id alone; null ids and repeated rows are packed as rows of their own; other columns are
+    not read. An empty table writes no file and gives an empty result.
     """
     import pandas as pd
 
@@ -247,6 +247,6 @@ def pack_matrices(docs: DataFrame, capacity: int = 2048, end_id: int = 1, pad_id
         shared.commit(directory, name, buffer.getbuffer())
         return pd.DataFrame(rows, columns=["sequence_id", "file", "row", "n_tokens", "doc_ids", "starts", "cu_seqlens", "position_resets", "ids_crc32"])
 
-    cut = pieces(docs, capacity, end_id, path, id_col, text_col, True)
+    cut = pieces(docs, capacity, end_id, path, id_col, text_col)
     out = grouped(docs, cut.withColumn("doc_id", F.col("doc_id").cast("string")), text_col, group_tokens)
     return shared.save(out.applyInPandas(pack, "sequence_id long, file string, row int, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, ids_crc32 long"), "packed")
