@@ -1,22 +1,27 @@
 """Order MinHash: document fingerprints that follow edit distance, in DataFrame operations only.
 
-Every k-mer of words is numbered by its occurrence, so a text's k-mers are a set. The set is dealt to bins by hash; in
-each bin the minimal TUPLE members are selected, put back into text order, and hashed as a tuple (Marcais and others,
-2019, with one permutation dealt to bins instead of a permutation for each entry). Members are ordered by the hash of
-the k-mer and, within it, by occurrence, so occurrence numbers need no table of their own: equal k-mers stand beside each
-other in text order once the hashes, with positions below them, are sorted as longs.
+Every k-mer of words is numbered by its occurrence, so a text's k-mers are a set (Marcais and others, 2019). Each entry of
+a fingerprint selects TUPLE of them, each minimal under a permutation of its own (a hash of k-mer, occurrence number and
+the permutation's number), puts them back into text order and hashes them as a tuple.
+
+Occurrence numbers come from the sorted k-mers: equal ones stand beside each other in text order, and how many stand before
+one is found by steps of halving size. Selection is a grouped minimum over the exploded k-mers; it follows the rows'
+partitioning by bucket, so k-mers are never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm import shared
+
 K = 2
-BINS = 64
+ENTRIES = 64
 TUPLE = 2
-#: Bits below the hash that hold a position; positions of longer texts wrap, which keeps results a function of the text.
-POSITION_BITS = 22
+#: A k-mer's number: 32 bits of hash above 32 bits of position, which no text reaches.
+HALF = 32
+LOW = (1 << HALF) - 1
 
 
 def _let(value: Column, body) -> Column:
@@ -24,52 +29,75 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def entries(text: Column) -> Column:
-    """array<int> of BINS entries, null for an empty bin."""
-    mask = (1 << POSITION_BITS) - 1
+def _packed(hashed: Column, position: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(~LOW)).bitwiseOR(position.cast("long").bitwiseAND(F.lit(LOW)))
+
+
+def _hash_of(packed: Column) -> Column:
+    return F.shiftright(packed, HALF)
+
+
+def numbered(text: Column) -> Column:
+    """array<long>: each k-mer's hash, with its occurrence number in it, above its position.
+
+    Words end at white space; a text of fewer than K words has its words as k-mers.
+    """
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
-    def packed(h: Column) -> Column:
-        nothing = F.array().cast("array<bigint>")
-        grams = F.transform(h, lambda x, i: F.when(i + K <= F.size(h), F.xxhash64(*[F.get(h, i + j) for j in range(K)])).otherwise(F.xxhash64(x, F.size(h), i)))
-        # texts of fewer than K words keep their words, others the k-mers alone
-        grams = F.when(F.size(h) >= K, F.slice(grams, 1, F.greatest(F.lit(1), F.size(h) - (K - 1)))).otherwise(grams)
-        return F.coalesce(F.sort_array(F.transform(grams, lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(mask))))), nothing)
+    def grams(h: Column) -> Column:
+        runs = F.transform(F.slice(h, 1, F.greatest(F.lit(1), F.size(h) - (K - 1))), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, K)]))
+        found = F.when(F.size(h) >= K, runs).otherwise(F.transform(h, lambda x: F.xxhash64(x)))
+        return F.sort_array(F.transform(found, lambda x, i: _packed(x, i)))
+
+    def before(s: Column, x: Column, i: Column) -> Column:
+        """How many equal k-mers stand before place i of the sorted ones."""
+        same = lambda j: F.coalesce(_hash_of(F.get(s, i - j)) == _hash_of(x), F.lit(False))
+        steps = F.lit([1 << b for b in range(30, -1, -1)])
+        return F.when(same(F.lit(1)), F.aggregate(steps, F.lit(0), lambda n, b: F.when((n + b <= i) & same(n + b), n + b).otherwise(n))).otherwise(F.lit(0))
+
+    return _let(hashes, lambda h: _let(grams(h), lambda s: F.transform(s, lambda x, i: _packed(F.xxhash64(_hash_of(x), before(s, x, i)), x))))
+
 
-    bin_of = lambda x: F.shiftrightunsigned(x, 58).cast("int")  # noqa: E731  BINS is 2 ** 6
+def selections(packed: Column) -> list[Column]:
+    """For each entry and member, the aggregate that selects the minimal k-mer."""
+    return [F.min(_packed(F.xxhash64(_hash_of(packed), F.lit(j)), packed)).alias(f"m{j}") for j in range(ENTRIES * TUPLE)]
 
-    def minimal(s: Column) -> Column:
-        return F.filter(s, lambda x, i: (i < TUPLE) | (bin_of(F.get(s, i - TUPLE)) != bin_of(x)))
 
-    def tuples(m: Column) -> Column:
-        def entry(b: Column) -> Column:
-            own = F.filter(m, lambda x: bin_of(x) == b)
-            in_order = F.array_sort(own, lambda x, y: F.when(x.bitwiseAND(F.lit(mask)) < y.bitwiseAND(F.lit(mask)), -1).when(x.bitwiseAND(F.lit(mask)) > y.bitwiseAND(F.lit(mask)), 1).otherwise(F.when(x < y, -1).when(x > y, 1).otherwise(0)))
-            # the hash alone goes into the tuple; equal members are told apart by their number, which is their order
-            return F.when(F.size(own) > 0, F.hash(F.transform(in_order, lambda x: F.shiftright(x, POSITION_BITS))))
+def entries() -> Column:
+    """array<int> of ENTRIES over the columns of selections: tuples of members in text order; null without a k-mer."""
 
-        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), entry)
+    def entry(j: int) -> Column:
+        own = [F.struct(F.col(f"m{j + t}").bitwiseAND(F.lit(LOW)).alias("at"), _hash_of(F.col(f"m{j + t}")).alias("h")) for t in range(TUPLE)]
+        return F.hash(F.sort_array(F.array(*own)).getField("h"))
 
-    return _let(hashes, lambda h: _let(packed(h), lambda s: _let(minimal(s), tuples)))
+    return F.when(F.col("m0").isNotNull(), F.array(*[entry(j) for j in range(0, ENTRIES * TUPLE, TUPLE)]))
+
+
+def fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """(keys, e): entries of each row's text; the keys tell rows apart, and partitioning by some of them is kept."""
+    p, g = shared.free(rows, "kmer", "kmers")
+    found = rows.withColumn(g, numbered(F.col(text_col))).select(*keys, F.explode_outer(g).alias(p))
+    return found.groupBy(*keys).agg(*selections(F.col(p))).select(*keys, entries().alias("e"))
 
 
 def text_form(e: Column) -> Column:
-    """The entries as text: eight hexadecimal digits for each, hyphens for an empty bin."""
-    return F.array_join(F.transform(e, lambda x: F.coalesce(F.lower(F.lpad(F.hex(F.shiftrightunsigned(x.cast("long") * F.lit(1 << 32), 32)), 8, "0")), F.lit("--------"))), "")
+    """The entries as text: eight hexadecimal digits for each; a text without a word has none."""
+    return F.coalesce(F.array_join(F.transform(e, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(LOW))), 8, "0"))), ""), F.lit(""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal entries among the bins that either has; 1 if neither has any."""
-    both = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(None)).otherwise(x.eqNullSafe(y).cast("int")))
-    return _let(F.filter(both, lambda x: x.isNotNull()), lambda k: F.when(F.size(k) == 0, F.lit(1.0)).otherwise(F.aggregate(k, F.lit(0), lambda s, x: s + x).cast("double") / F.size(k)))
+    """Share of equal entries; 1 if neither text has a word, 0 if one has none."""
+    equal = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return F.when(a.isNull() & b.isNull(), F.lit(1.0)).otherwise(F.coalesce(equal.cast("double") / F.lit(float(ENTRIES)), F.lit(0.0)))
 
 
 def with_next(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, e, next_text, next_e): each row beside the next by descending id, the last beside the first.
+    """(bucket, at, ghost, doc_id, text, next_text): each row beside the next by descending id, the last beside the first.
 
-    Null ids come last; rows of one id are ordered by text hash and text. Rows are dealt to ranges of ids, and the first
-    row of each range is sent to the range before it too, so no task sees all rows and texts move once.
+    Null ids come last; rows of one id are ordered by text hash and text. Rows are dealt to ranges of ids (buckets), and
+    the first row of each range comes once more as the ghost that ends the range before it, so no task sees all rows and
+    texts move once. at numbers a bucket's rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     table = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -84,12 +112,8 @@ def with_next(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: s
     ghosts = dealt.join(F.broadcast(heads), "key").select("key", "doc_id", "text", F.col("before").alias("bucket"), F.lit(1).alias("ghost"))
     ghosts = ghosts.groupBy("bucket", "key").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "doc_id")).alias("x")).select("key", "x.doc_id", "x.text", "bucket", F.lit(1).alias("ghost"))
     rows = dealt.select("key", "doc_id", "text", "bucket", F.lit(0).alias("ghost")).union(ghosts)
-    rows = rows.withColumn("e", entries(F.col("text")))
-    order = ["ghost", F.desc("key"), F.xxhash64("text"), "text"]
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("bucket").orderBy(*order)
-    return rows.select("doc_id", "text", "e", "ghost", F.lead("text").over(w).alias("next_text"), F.lead("e").over(w).alias("next_e")).where("ghost = 0").drop("ghost")
+    w = Window.partitionBy("bucket").orderBy("ghost", F.desc("key"), F.xxhash64("text"), "text")
+    return rows.select("bucket", F.row_number().over(w).alias("at"), "ghost", "doc_id", "text", F.lead("text").over(w).alias("next_text"))
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -108,6 +132,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = with_next(docs, buckets, id_col, text_col)
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "e", "next_e", edited(F.col("text"), F.col("next_text")).alias("changed"))
-    rows = rows.select("doc_id", "n_chars", "e", "next_e", F.sha2("changed", 256).alias("edited_sha256"), entries(F.col("changed")).alias("c"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", text_form(F.col("e")).alias("fingerprint"), text_form(F.col("c")).alias("edited_fingerprint"), likeness(F.col("e"), F.col("c")).alias("near_edited"), likeness(F.col("e"), F.col("next_e")).alias("near_next"))
+    changed = edited(F.col("text"), F.col("next_text"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("of"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("side"), changed.alias("of"), F.sha2(changed, 256).alias("sha")))
+    # a ghost stands for its own text alone
+    rows = rows.select("bucket", "at", "ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), F.inline(F.slice(sides, 1, F.lit(2) - F.col("ghost"))))
+    found = fingerprints(rows, ["bucket", "at", "ghost", "doc_id", "n_chars", "side", "sha"], "of")
+    w = Window.partitionBy("bucket").orderBy("at", "side")
+    after = lambda c, n: F.lead(c, n).over(w).alias(f"{c}{n}")
+    # a row's own side is followed by its edited one, and that by the next row's own
+    found = found.select("doc_id", "n_chars", "ghost", "side", "e", after("sha", 1), after("e", 1), after("e", 2)).where("ghost = 0 AND side = 0")
+    near = lambda c: likeness(F.col("e"), F.col(c))
+    return found.select("doc_id", "n_chars", F.col("sha1").alias("edited_sha256"), text_form(F.col("e")).alias("fingerprint"), text_form(F.col("e1")).alias("edited_fingerprint"), near("e1").alias("near_edited"), near("e2").alias("near_next"))
