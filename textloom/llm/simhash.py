@@ -38,7 +38,11 @@ def shingles(found: list[bytes], words: int, seed: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """64 bits over word shingles of the text; A-Z count as a-z, words end at ASCII white space."""
-    hashes = shingles(text.lower().split(), words, seed)
+    return majority(shingles(text.lower().split(), words, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if it is set in over half of the hashes; 0 without any."""
     n = len(hashes)
     if not n:
         return 0

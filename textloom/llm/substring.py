@@ -284,7 +284,8 @@ def repeated_windows(table: DataFrame, window: int) -> DataFrame:
     ranges = whole.union(compared(text, window)).groupBy("m", "sh").agg(F.collect_list(F.struct("s", "e")).alias("r"))
     ranges = shared.save(ranges, "ranges")
     own = F.transform("r", lambda x: F.struct((F.col("a") + x["s"]).alias("s"), (F.col("a") + x["e"]).alias("e")))
-    marked = again.join(ranges, ["m", "sh"]).select("doc_id", "digest", own.alias("r"))
+    # each segment stays, repeated or not, so the join returns as many rows as come in whatever the texts repeat
+    marked = again.join(ranges, ["m", "sh"], "left").select("doc_id", "digest", own.alias("r"))
     out = shared.save(marked.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("r")).alias("ranges")), "marked")
     shared.drop(again, classes, text, ranges)
     return out
