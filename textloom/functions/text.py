@@ -23,12 +23,29 @@ class Patterns:
     url: str = r"(?i)https?://\S+|www\.\S+"
     broken_url: str = r"(?i)https?\s*:\s*/\s*/\s*\S+|www\s*\.\s*\S+"
     email: str = r"(?i)[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
-    doi: str = r"(?i)(?:doi\s*:?\s*)?10\.\d{4,9}/\S+"
+    doi: str = r"(?i)(?<![\p{L}\p{N}_])(?:doi\s*:?\s*)?10\.\d{4,9}/\S+"
     phone: str = r"(?i)(?<![\p{L}\p{N}_])(?:tel(?:e?fono)?|tel[eé]fono|fax|lada sin costo|conmutador)(?![\p{L}\p{N}_])|(?:\+?\d{1,3}[\s-]?)?(?:\(?\d{2,4}\)?[\s-]?){2,}\d{2,4}"
-    reference: str = r"(?i)(?<![\p{L}\p{N}_])(?:doi|isbn|issn|pmid|revista|journal|vol\.?|ed\.?|editorial)(?![\p{L}\p{N}_])|\(\d{4}\)|\d{4};\d+|(?<![\p{L}\p{N}_])et\s+al(?![\p{L}\p{N}_])"
+    reference: str = r"(?i)(?<![\p{L}\p{N}_])(?:doi|isbn|issn|pmid|revista|journal|vol\.?|ed\.?|editorial)(?![\p{L}\p{N}_])|\(\d{4}\)|(?<![\p{L}\p{N}_])\d{4};\d+|(?<![\p{L}\p{N}_])et\s+al(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])disponible en(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])consultad[oa](?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])citad[oa](?![\p{L}\p{N}_])"
+    bibliography: str = r"(?i)(?<![\p{L}\p{N}_])(?:referencias|bibliografia|bibliografía)(?![\p{L}\p{N}_])"
+    admin: str = (
+        r"(?i)(?<![\p{L}\p{N}_])(?:isbn|issn|copyright|derechos reservados|agradecimientos?|directorio|relacion general de autores|"
+        r"relación general de autores|autores|afiliaci[oó]n|correspondencia|primera edici[oó]n|segunda edici[oó]n|editorial|comisionado|"
+        r"director(?:a)?|subdirector(?:a)?|grupo de trabajo|correo electr[oó]nico|e-?mail|tel[eé]fono|fax|lada sin costo|"
+        r"conflicto de inter[eé]s|financiamiento)(?![\p{L}\p{N}_])"
+    )
+    numbered: str = r"^\s*\d{1,3}\.\s+"
+    person: str = r"^\s*[A-ZÁÉÍÓÚÜÑ][A-Za-zÁÉÍÓÚÜÑáéíóúüñ' -]{2,},\s*[A-ZÁÉÍÓÚÜÑ]"
+    chapter: str = r"^(?:capitulo|cap|tema|seccion|anexo)\b"
+    exam_header: str = r"(?i)(?<![\p{L}\p{N}_])RESPUESTAS?\s+ENARM(?![\p{L}\p{N}_])"
     answer_key: str = r"(?i)RESPUESTA\s+CORRECTA\s*:\s*[A-E](?![\p{L}\p{N}_])"
     dot_leader: str = r"\.{4,}"
-    meta_phrase: tuple[str, ...] = ("segun el texto", "según el texto", "el contexto", "el fragmento")
+    meta_phrase: tuple[str, ...] = (
+        "según el texto", "según el fragmento", "según la tabla", "de acuerdo con el fragmento", "de acuerdo al fragmento", "con base en el texto",
+        "basado en el texto", "el fragmento dice", "el contexto señala", "el contexto compartido",
+    )
+    meta_answer: str = r"(?<![\p{L}\p{N}_])(?:el fragmento|el contexto|el texto|seg[uú]n el|de acuerdo con|con base en)(?![\p{L}\p{N}_])"
+    spanish_signals: tuple[str, ...] = (" el ", " la ", " los ", " las ", " de ", " del ", " que ", " por ", " para ", " con ", " una ", " uno ", " al ", " se ", " en ")
+    spanish_letters: str = "[áéíóúñü]"
 
 
 def _folding() -> tuple[str, str, list[tuple[str, str]]]:
@@ -49,10 +66,11 @@ _FROM, _TO, _SEVERAL = _folding()
 
 def fold(c: Column) -> Column:
     """Compatibility decomposition without marks, exact below U+0250 and for Latin ligatures; other marks are dropped by class."""
-    c = F.translate(c, _FROM, _TO)
+    whole = F.translate(c, _FROM, _TO)
     for a, b in _SEVERAL:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.regexp_replace(c, r"\p{M}", "")
+        whole = F.replace(whole, F.lit(a), F.lit(b))
+    # most texts hold nothing to fold: one test spares them all passes
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(whole, r"\p{M}", "")).otherwise(c)
 
 
 def normalize(c: Column) -> Column:
@@ -90,12 +108,15 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def is_noise_line(line: Column, p: Patterns = Patterns(), drop: tuple[str, ...] = ()) -> Column:
-    bad = line.rlike(p.url) | line.rlike(p.email) | line.rlike(p.doi) | line.rlike(p.phone)
+def is_noise_line(line: Column, p: Patterns = Patterns(), drop: tuple[str, ...] = (), terms: tuple[str, ...] = ()) -> Column:
+    """Addresses, phone numbers, administrative lines, numbered references, and lists of names without a term of the domain."""
+    bad = line.rlike(p.broken_url) | line.rlike(p.url) | line.rlike(p.email) | line.rlike(p.doi) | line.rlike(p.phone) | line.rlike(p.admin)
+    bad = bad | (line.rlike(p.numbered) & line.rlike(p.reference))
+    bad = bad | (line.rlike(p.person) & (F.size(tokens(line)) > 5) & (contains_count(normalize(line), terms) == 0))
     return bad | normalize(line).isin(list(drop)) if drop else bad
 
 
-def clean_extracted(c: Column, p: Patterns = Patterns(), drop: tuple[str, ...] = ()) -> Column:
+def clean_extracted(c: Column, p: Patterns = Patterns(), drop: tuple[str, ...] = (), terms: tuple[str, ...] = ()) -> Column:
     """Unify line ends, drop control characters, addresses and noise lines, join hyphenated words, keep one blank line."""
     c = F.regexp_replace(c, "\r\n|\r| | ", "\n")
     c = F.regexp_replace(c, "[﻿​]", "")
@@ -105,7 +126,7 @@ def clean_extracted(c: Column, p: Patterns = Patterns(), drop: tuple[str, ...] =
     c = F.regexp_replace(c, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
     c = F.regexp_replace(c, r"(?m)^[ \t]*[•●▪◦][ \t]*", "- ")
     c = F.regexp_replace(c, r"[ \t]+", " ")
-    kept = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: (x == "") | ~is_noise_line(x, p, drop))
+    kept = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: (x == "") | ~is_noise_line(x, p, drop, terms))
     return F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -114,14 +135,15 @@ def line_signature(line: Column) -> Column:
     return F.when((F.length(n) < 4) | n.rlike(r"^[0-9\s]+$"), "").otherwise(n)
 
 
-def is_heading(line: Column, longest: int = 110, most_words: int = 14) -> Column:
-    """Short, and either numbered or mostly upper case with six letters or more."""
+def is_heading(line: Column, longest: int = 110, most_words: int = 14, known: tuple[str, ...] = (), p: Patterns = Patterns()) -> Column:
+    """Short, and a known heading, one that begins like a chapter, numbered, or mostly upper case with six letters or more."""
     t = F.regexp_replace(line, r"^[ :\-]+|[ :\-]+$", "")
     words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
     letters = F.regexp_replace(t, r"[^\p{L}]", "")
     upper = F.length(F.regexp_replace(letters, r"[^\p{Lu}]", ""))
     numbered = t.rlike(r"^(?:\d{1,2}(?:\.\d{1,3}){0,4}|[IVXLCDM]{1,8})[\). -]+") & (words <= 12)
-    return (t != "") & (F.length(t) <= longest) & (words <= most_words) & (numbered | ((F.length(letters) >= 6) & (upper >= F.length(letters) * F.lit(0.72))))
+    named = normalize(t).isin(list(known)) | normalize(t).rlike(p.chapter)
+    return (t != "") & (F.length(t) <= longest) & (words <= most_words) & (named | numbered | ((F.length(letters) >= 6) & (upper >= F.length(letters) * F.lit(0.72))))
 
 
 def reference_line_ratio(c: Column, p: Patterns = Patterns()) -> Column:
@@ -129,7 +151,7 @@ def reference_line_ratio(c: Column, p: Patterns = Patterns()) -> Column:
 
 
 def reference_marker_count(c: Column, p: Patterns = Patterns()) -> Column:
-    return sum((F.regexp_count(c, F.lit(x)) for x in (p.url, p.email, p.doi, p.reference)), F.lit(0))
+    return sum((F.regexp_count(c, F.lit(x)) for x in (p.reference, p.url, p.broken_url, p.doi, p.bibliography)), F.lit(0))
 
 
 def suspicious_ratio(c: Column, weird: str = "‡ƒ¦„¥‚┫�") -> Column:
@@ -157,15 +179,38 @@ def contains_count(c: Column, terms) -> Column:
 
 
 def marker_language(c: Column, first: tuple[str, ...], second: tuple[str, ...], names: tuple[str, str] = ("es", "en")) -> Column:
-    """The language whose markers occur more often as words; ties go to the first; none is unknown."""
-    w = F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)
+    """The language whose markers occur more often among the normalised words; ties go to the first; none is unknown."""
+    w = F.split(normalize(c), " ")
     a, b = (F.size(F.filter(w, lambda x: x.isin(list(m)))) for m in (first, second))
     return F.when((a == 0) & (b == 0), "unknown").when(a >= b, names[0]).otherwise(names[1])
 
 
 def density(c: Column, terms: tuple[str, ...]) -> Column:
-    w = F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)
-    return _share(F.filter(w, lambda x: x.isin(list(terms))), w)
+    """Share of the normalised words that are terms, to four digits."""
+    w = F.filter(F.split(normalize(c), " "), lambda x: x != "")
+    return F.round(_share(F.filter(w, lambda x: x.isin(list(terms))), w), 4)
+
+
+def looks_spanish(c: Column, p: Patterns = Patterns()) -> Column:
+    """Four points or more: one for each frequent word, two for a letter that Spanish has."""
+    low = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+    return contains_count(low, p.spanish_signals) + F.when(low.rlike(p.spanish_letters), 2).otherwise(0) >= 4
+
+
+def cleanliness(question: Column, answer: Column, p: Patterns = Patterns()) -> dict[str, Column]:
+    """Whether question and answer speak of their source, question marks, and words of the answer."""
+    meta = lambda c: contains_count(F.lower(c), p.meta_phrase) > 0
+    return {"question_has_meta_reference": meta(question), "answer_has_meta_reference": meta(answer), "question_mark_count": F.regexp_count(question, F.lit("[?¿]")), "answer_word_count": F.size(tokens(answer))}
+
+
+def meta_flags(question: Column, answer: Column, p: Patterns = Patterns()) -> dict[str, Column]:
+    """Whether an answer leans on its source, and whether a question asks for two things."""
+    return {"meta_answer": F.lower(answer).rlike(p.meta_answer), "question_with_y": F.lower(question).contains(" y ")}
+
+
+def row_id(ordinal: Column, *names: Column) -> Column:
+    """The first name that is neither null nor empty, else the row's number."""
+    return F.coalesce(*[F.nullif(F.trim(n.cast("string")), F.lit("")) for n in names], ordinal.cast("string"))
 
 
 def first_words(c: Column, n: int) -> Column:

@@ -16,23 +16,30 @@ def score(norm: Column, words: Column, reference_ratio: Column, pack: Pack) -> C
     return F.greatest(F.lit(0), hits + extra).cast("int")
 
 
-def page_metrics(df: DataFrame, pack: Pack, text: str = "text") -> DataFrame:
-    """Add the metrics that classifiers share, so that each is computed once."""
+def page_metrics(df: DataFrame, pack: Pack, text: str = "text", clean: bool = False) -> DataFrame:
+    """Add the metrics that classifiers share, so that each is computed once; of the cleaned text if so asked (pages)."""
+    if clean:
+        df = df.withColumn("page_text", T.clean_extracted(F.col(text), drop=pack.drop_headings, terms=pack.terms))
+        text = "page_text"
     c = F.col(text)
-    df = df.withColumns({"norm": T.normalize(c), "words": T.word_count(c), "reference_ratio": T.reference_line_ratio(c), "page_lines": T.lines(c)})
+    df = df.withColumns({"norm": T.normalize(c), "words": T.word_count(c), "page_lines": T.lines(c), "norm_head": T.normalize(F.substring(c, 1, 2500))})
+    p = T.Patterns()
+    lines = F.col("page_lines")
+    share = F.when(F.size(lines) > 0, F.size(F.filter(lines, lambda x: x.rlike(p.reference))) / F.size(lines).cast("double")).otherwise(F.lit(0.0))
+    df = df.withColumn("reference_ratio", share)
     return df.withColumns({"chars": F.length(c), "token_estimate": T.estimate_tokens(c), "clinical_score": score(F.col("norm"), F.col("words"), F.col("reference_ratio"), pack), "suspicious": T.suspicious_ratio(c), "markers": T.reference_marker_count(c), "numeric_ratio": T.numeric_token_ratio(c), "decimals": T.decimal_count(c)})
 
 
 def drop_reason(pack: Pack, page: str = "page") -> Column:
     """Why a page with page_metrics is dropped; empty if it is kept. The first rule that holds decides."""
     c, s, lines = F.col, F.col("clinical_score"), F.col("page_lines")
-    credits = (c(page) <= 2) & (T.contains_count(F.substring("norm", 1, 2500), pack.credits) > 0) & (s < 3)
+    credits = (c(page) <= 2) & (T.contains_count(c("norm_head"), pack.credits) > 0) & (s < 3)
     headings = F.exists(F.slice(lines, 1, 15), lambda x: T.normalize(x).isin(list(pack.drop_headings)))
     leaders = F.size(F.filter(lines, lambda x: x.rlike(r"\.{3,}\s*\d+$")))
-    index = (T.contains_count(F.substring("norm", 1, 800), pack.index_terms) > 0) & ((leaders >= 3) | (s < 4))
+    index = (T.contains_count(F.substring("norm_head", 1, 800), pack.index_terms) > 0) & ((leaders >= 3) | (s < 4))
     prefix = F.lit(False)
     for term in pack.drop_headings:
-        prefix = prefix | c("norm").startswith(term)
+        prefix = prefix | c("norm_head").startswith(term)
     short = F.size(F.filter(lines, lambda x: F.length(x) <= 28))
     fragmented = (F.size(lines) >= 12) & (short >= F.size(lines) * F.lit(0.72)) & (s < 5)
     return (
@@ -86,8 +93,16 @@ def _first(c: Column, table: dict[str, tuple[str, ...]], chain):
     return chain
 
 
+def openings(df: DataFrame, pack: Pack, text: str = "text") -> DataFrame:
+    """Add what section and role look at: the normalised first 1500 and 2000 characters, and the score of the first 1000."""
+    c = F.col(text)
+    head = F.substring(c, 1, 1000)
+    df = df.withColumns({"norm_1500": T.normalize(F.substring(c, 1, 1500)), "norm_2000": T.normalize(F.substring(c, 1, 2000)), "head_norm": T.normalize(head), "head_words": T.word_count(head), "head_references": T.reference_line_ratio(head)})
+    return df.withColumn("head_score", score(F.col("head_norm"), F.col("head_words"), F.col("head_references"), pack)).drop("head_norm", "head_words", "head_references")
+
+
 def section_type(heading: Column, norm: Column, clinical: Column, pack: Pack) -> Column:
-    """By heading, else by the opening, else by score; the pack's order decides."""
+    """By heading, else by the opening, else by the opening's score (see openings); the pack's order decides."""
     chain = _first(T.normalize(heading), pack.sections, None)
     chain = _first(F.substring(norm, 1, 500), pack.sections, chain)
     return chain.when(clinical >= 5, "clinical_content").otherwise("unknown")
@@ -134,3 +149,87 @@ def pair_count(tokens: Column, clinical: Column, least: int = 2, most: int = 5)
     """How many question pairs a chunk is good for."""
     base = F.when(tokens < 300, 2).when(tokens < 600, 3).when(tokens < 900, 4).otherwise(5) + F.when(clinical >= 12, 1).otherwise(0)
     return F.least(F.lit(most), F.greatest(F.lit(least), base))
+
+
+def keeps_chunk(role: Column, language: Column, pack: Pack, languages: tuple[str, ...] = ("es", "unknown")) -> Column:
+    """Whether a chunk stays in the training text: no dropped role, and one of the languages."""
+    return ~F.coalesce(role, F.lit("")).isin(list(pack.dropped_roles)) & F.coalesce(language, F.lit("unknown")).isin(list(languages))
+
+
+def is_clinical(role: Column, pack: Pack) -> Column:
+    return F.coalesce(role.isin(list(pack.clinical_roles)), F.lit(False))
+
+
+def source_filter(rows: DataFrame, language: Column, clinical: Column, role: Column, pack: Pack, text: str = "text", least_score: int = 4) -> DataFrame:
+    """Add kept: Spanish by its metadata (by its words where they say nothing), a score of at least so much, and a clinical role."""
+    spanish = F.when(F.coalesce(language, F.lit("")) != "", language == "es").otherwise(T.looks_spanish(F.col(text)))
+    return rows.withColumn("kept", spanish & (clinical >= least_score) & is_clinical(role, pack))
+
+
+#: What a file name says about a document's type, and what its opening says. Fixed values.
+NAME_TYPES = {
+    "gpc": ("gpc", "guía de práctica", "guia de practica", "clinical practice"),
+    "protocol": ("protocolo", "protocol", "algoritmo", "algorithm", "procedimiento"),
+    "manual": ("manual", "texto", "universidad", "académico", "academico"),
+    "article": ("artículo", "articulo", "article", "paper", "pubmed"),
+}
+OPENING_TYPES = {
+    "gpc": ("guía de práctica clínica", "evidencia científica", "nivel de evidencia", "recomendación formal", "grado de recomendación", "consenso"),
+    "protocol": ("protocolo de", "algoritmo de", "flujo de", "procedimiento de", "manejo de", "pasos a seguir", "indicaciones"),
+    "article": ("resumen", "abstract", "objetivo", "métodos", "resultados", "conclusiones", "palabras clave", "doi", "introducción"),
+    "book": ("editorial", "isbn", "primera edición", "segunda edición", "derechos reservados", "tabla de contenido", "prólogo", "prefacio"),
+}
+CHAPTER_NAMES = ("cap", "capítulo", "capitulo", "chapter")
+
+
+def document_type(name: Column, text: Column, names=NAME_TYPES, openings=OPENING_TYPES, chapters=CHAPTER_NAMES) -> Column:
+    """By name, else by the type with most markers in the first 5000 characters (two at least, ties to the first), else a book by a chapter's name."""
+    low, head = F.lower(name), F.lower(F.substring(text, 1, 5000))
+    chain = _first(low, names, None)
+    rows = [F.struct(T.contains_count(head, words).alias("n"), F.lit(-i).alias("o"), F.lit(kind).alias("kind")) for i, (kind, words) in enumerate(openings.items())]
+    best = F.array_max(F.array(*rows))
+    return chain.when(best["n"] >= 2, best["kind"]).when(T.contains_count(low, chapters) > 0, "book").otherwise("unknown")
+
+
+def evaluated_inclusion(pages: Column, ocr_pages: Column, ratio: Column, least_ratio: float = 0.10, most_ocr: float = 0.50, least_pages: int = 3) -> Column:
+    """struct(status, reason, detail); the first rule that holds decides, and reason and detail are null for what is included."""
+    share = F.when(pages > 0, ocr_pages / pages).otherwise(F.lit(0.0))
+    percent = lambda x: F.format_string("%.1f%%", x * 100)
+    out = lambda why, detail: F.struct(F.lit("excluded").alias("status"), F.lit(why).alias("reason"), detail.alias("detail"))
+    ocr = out("ocr_dominated", F.concat(ocr_pages.cast("string"), F.lit("/"), pages.cast("string"), F.lit(" páginas ("), percent(share), F.lit(") requieren OCR")))
+    poor = out("non_clinical", F.concat(F.lit("Ratio de términos clínicos: "), percent(ratio), F.lit(f" (mínimo: {least_ratio:.0%})")))
+    short = out("empty", F.concat(F.lit("Solo "), pages.cast("string"), F.lit(f" páginas (mínimo: {least_pages})")))
+    good = F.struct(F.lit("included").alias("status"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("detail"))
+    return F.when(share > most_ocr, ocr).when(ratio < least_ratio, poor).when(pages < least_pages, short).otherwise(good)
+
+
+def cell_metrics(rows: Column) -> dict[str, Column]:
+    """Of an array of arrays of cells: shares of filled, numeric and short cells, and words in a filled cell, mean and most."""
+    cells = F.transform(F.flatten(rows), lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    full = F.filter(cells, lambda x: x != "")
+    words = F.transform(full, lambda x: F.size(T.tokens(x)))
+    share = lambda found, of: F.when(F.size(of) > 0, F.size(found) / F.size(of).cast("double")).otherwise(F.lit(0.0))
+    total = F.aggregate(words, F.lit(0), lambda s, x: s + x)
+    return {
+        "non_empty_density": share(full, cells), "numeric_ratio": share(F.filter(full, lambda x: x.rlike(r"\d")), full), "short_cell_ratio": share(F.filter(full, lambda x: F.length(x) <= 3), full),
+        "avg_words_per_cell": F.when(F.size(full) > 0, total / F.size(full).cast("double")).otherwise(F.lit(0.0)), "max_words_cell": F.coalesce(F.array_max(words), F.lit(0)), "non_empty_cells": F.size(full),
+    }
+
+
+def header_like(first_row: Column) -> Column:
+    """Two filled cells or more, of six words at most each."""
+    full = F.filter(F.transform(first_row, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    return (F.size(full) >= 2) & F.forall(full, lambda x: F.size(T.tokens(x)) <= 6)
+
+
+def layout_fragment(n_rows: Column, n_cols: Column, m: dict[str, Column]) -> Column:
+    """Whether a table is a piece of a page's layout, by its metrics (see cell_metrics)."""
+    few = m["numeric_ratio"] < 0.1
+    sparse = (n_cols >= 6) & (n_rows >= 30) & (m["numeric_ratio"] < 0.08)
+    return sparse | ((m["avg_words_per_cell"] > 8) & few) | (m["max_words_cell"] > 45) | ((m["short_cell_ratio"] > 0.55) & few) | (m["non_empty_density"] < 0.35)
+
+
+def table_gate(n_rows: Column, n_cols: Column, m: dict[str, Column], header: Column, by_text: bool = False, least_rows: int = 2, least_cols: int = 2) -> Column:
+    """Whether a table is kept: large and full enough, no layout; tables found by text alone must be numeric too."""
+    good = (n_rows >= least_rows) & (n_cols >= least_cols) & (m["non_empty_cells"] >= least_rows * least_cols) & ~layout_fragment(n_rows, n_cols, m)
+    return good & (m["numeric_ratio"] >= 0.18) if by_text else good

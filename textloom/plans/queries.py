@@ -120,13 +120,27 @@ def lexicon_score(spark, sf_dir):
     return rows.select("doc_id", classify.score(F.col("norm"), F.col("words"), F.lit(0.0), SAMPLE).alias("score"))
 
 
-@query("section_type", f"WITH n AS (SELECT doc_id, {NORM} AS norm FROM documents) SELECT doc_id, " + _case([(f"({sql_hits('substr(norm, 1, 500)', ws)}) > 0", name) for name, ws in SAMPLE.sections.items()] + [(f"{SCORE} >= 5", "clinical_content")], "unknown") + " AS section_type FROM n")
+#: The score that SQL gives to a normalised text with columns words and ratio.
+WHOLE_SCORE = f"greatest(0, {SCORE} + CASE WHEN words >= 120 THEN 2 ELSE 0 END + CASE WHEN words >= 350 THEN 2 ELSE 0 END - CASE WHEN ratio >= 0.35 THEN 3 ELSE 0 END)"
+RATIO = f"CASE WHEN len({LINES}) > 0 THEN len(list_filter({LINES}, lambda x: regexp_matches(x, '{REF}', 'i'))) / len({LINES}) ELSE 0 END"
+SCORED = f"SELECT doc_id, {NORM} AS norm, len(regexp_extract_all(text, '{W}')) AS words, {RATIO} AS ratio FROM"
+OPENINGS = f"""WITH h AS (SELECT doc_id, substr(text, 1, 1000) AS text FROM documents), hs AS (SELECT doc_id, {WHOLE_SCORE} AS head_score FROM ({SCORED} h)),
+ ws AS (SELECT doc_id, {WHOLE_SCORE} AS score FROM ({SCORED} documents)),
+ a AS (SELECT doc_id, {NORM} AS norm_1500 FROM (SELECT doc_id, substr(text, 1, 1500) AS text FROM documents)),
+ b AS (SELECT doc_id, {NORM} AS norm_2000 FROM (SELECT doc_id, substr(text, 1, 2000) AS text FROM documents)),
+ o AS (SELECT * FROM hs JOIN ws USING (doc_id) JOIN a USING (doc_id) JOIN b USING (doc_id)),
+ s AS (SELECT *, {_case([(f"({sql_hits('substr(norm_1500, 1, 500)', ws)}) > 0", name) for name, ws in SAMPLE.sections.items()] + [("head_score >= 5", "clinical_content")], "unknown")} AS section FROM o)
+"""
+
+
+@query("section_type", OPENINGS + "SELECT doc_id, section AS section_type FROM s")
 def section_type(spark, sf_dir):
-    norm = documents(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("norm"))
-    return norm.select("doc_id", classify.section_type(F.lit(""), F.col("norm"), classify.score(F.col("norm"), F.lit(0), F.lit(0.0), SAMPLE), SAMPLE).alias("section_type"))
+    """Sections by the opening, else by the score of the first 1000 characters."""
+    rows = classify.openings(documents(spark, sf_dir).select("doc_id", "text"), SAMPLE)
+    return rows.select("doc_id", classify.section_type(F.lit(""), F.col("norm_1500"), F.col("head_score"), SAMPLE).alias("section_type"))
 
 
-@query("detect_language", f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w FROM documents),
+@query("detect_language", f"""WITH w AS (SELECT doc_id, string_split({NORM}, ' ') AS w FROM documents),
  h AS (SELECT doc_id, len(list_filter(w, lambda x: list_contains({list(SAMPLE.spanish)}, x))) AS a, len(list_filter(w, lambda x: list_contains({list(SAMPLE.english)}, x))) AS b FROM w)
  SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN 'unknown' WHEN a >= b THEN 'es' ELSE 'en' END AS language FROM h""")
 def detect_language(spark, sf_dir):
@@ -136,7 +150,7 @@ def detect_language(spark, sf_dir):
 @query("page_drop_reasons")
 def page_drop_reasons(spark, sf_dir):
     """Pages by drop reason."""
-    pages = classify.page_metrics(corpus.paged(documents(spark, sf_dir)), SAMPLE)
+    pages = classify.page_metrics(corpus.paged(documents(spark, sf_dir)), SAMPLE, clean=True)
     return pages.groupBy(classify.drop_reason(SAMPLE).alias("drop_reason")).agg(F.count("*").alias("pages"))
 
 
@@ -145,11 +159,23 @@ def chunk_quality_flags(spark, sf_dir):
     return classify.page_metrics(documents(spark, sf_dir), SAMPLE).select("doc_id", F.array_join(classify.quality_flags(), ",").alias("flags"), classify.reject_reason(("license",)).alias("reject_reason"))
 
 
-@query("content_role")
+def _role_points(role: str, i: int) -> str:
+    home = [name for name, of in SAMPLE.section_role.items() if of == role]
+    own = f"CASE WHEN section IN ({', '.join(repr(x) for x in home)}) THEN 2 ELSE 0 END" if home else "0"
+    return f"(({sql_hits('norm_2000', SAMPLE.roles[role])} + {own}) * 100 - {i})"
+
+
+POINTS = {role: _role_points(role, i) for i, role in enumerate(SAMPLE.roles)}
+
+
+@query("content_role", OPENINGS + f""", r AS (SELECT doc_id, section, score, {", ".join(f"{x} AS r_{role}" for role, x in POINTS.items())} FROM s),
+ t AS (SELECT *, greatest({", ".join(f"r_{role}" for role in POINTS)}) AS best FROM r)
+ SELECT doc_id, section, CASE {" ".join(f"WHEN best > 100 AND best = r_{role} THEN '{role}'" for role in POINTS)} WHEN score >= 8 THEN 'evidence' WHEN score >= 4 THEN 'background' ELSE 'unknown' END AS role FROM t""")
 def content_role(spark, sf_dir):
-    rows = classify.page_metrics(documents(spark, sf_dir), SAMPLE)
-    rows = rows.withColumn("section", classify.section_type(F.lit(""), F.col("norm"), F.col("clinical_score"), SAMPLE))
-    return rows.select("doc_id", "section", classify.content_role(F.col("norm"), F.col("section"), F.col("clinical_score"), SAMPLE).alias("role"))
+    """Section and role: two keyword hits of the first 2000 characters at least, else by the whole text's score."""
+    rows = classify.openings(classify.page_metrics(documents(spark, sf_dir).select("doc_id", "text"), SAMPLE), SAMPLE)
+    rows = rows.withColumn("section", classify.section_type(F.lit(""), F.col("norm_1500"), F.col("head_score"), SAMPLE))
+    return rows.select("doc_id", "section", classify.content_role(F.col("norm_2000"), F.col("section"), F.col("clinical_score"), SAMPLE).alias("role"))
 
 
 SIG = "CASE WHEN length(n) < 4 OR regexp_matches(n, '^[0-9 ]+$') THEN '' ELSE n END"
