@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from textloom.plans import more, queries  # noqa: F401
+from textloom.plans import more, queries, services  # noqa: F401
 from textloom.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

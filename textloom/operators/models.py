@@ -164,18 +164,18 @@ def score(sample: Column, factory: Callable[[], dict[str, Callable]], names: tup
     return run.asNondeterministic()(sample)
 
 
-def hyde_search(questions: DataFrame, vectors: DataFrame, writer: Callable[[], Generator], encoder: Callable[[], Encoder], k: int = 5) -> DataFrame:
+def hyde_search(questions: DataFrame, vectors: DataFrame, writer: Callable[[], Generator], encoder: Callable[[], Encoder], k: int = 5, digits: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): dense search by a hypothetical text instead of the question (query_id, text).
 
     Questions with a text in a column hypothetical keep it (a cache's hits); the others ask the writer, and those whose
-    reply isn't ok are left out.
+    reply isn't ok are left out. Scores may be rounded before they are ranked.
     """
     if "hypothetical" not in questions.columns:
         questions = questions.withColumn("hypothetical", F.lit(None).cast("string"))
     prompt = F.when(F.col("hypothetical").isNull(), prompts.hypothetical(F.col("text")))
     replies = questions.withColumn("reply", generate(prompt, writer))
     texts = replies.select("query_id", F.coalesce("hypothetical", F.when(F.col("reply.status") == "ok", F.col("reply.text"))).alias("text")).where("text is not null")
-    return retrieval.dense(texts.select("query_id", encode(F.col("text"), encoder).alias("q")), vectors, k)
+    return retrieval.dense(texts.select("query_id", encode(F.col("text"), encoder).alias("q")), vectors, k, digits)
 
 
 def search(strategy: str, questions: DataFrame, legs: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:

@@ -147,14 +147,85 @@ def detect_language(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.marker_language(F.col("text"), SAMPLE.spanish, SAMPLE.english).alias("language"))
 
 
-@query("page_drop_reasons")
+def re2(pattern: str) -> str:
+    """A pattern of the library for SQL, whose engine looks at no neighbours: edges of words become characters of the match."""
+    return pattern.replace("(?i)", "").replace("'", "''").replace(r"(?<![\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])").replace(r"(?![\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)")
+
+
+def norm_of(c: str) -> str:
+    return NORM.replace("strip_accents(text)", f"strip_accents({c})")
+
+
+def lines_of(c: str) -> str:
+    return LINES.replace("text", c)
+
+
+def has(c: str, pattern: str, flags: str = "i") -> str:
+    return f"regexp_matches({c}, '{re2(pattern)}', '{flags}')"
+
+
+def found(c: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({c}, '{re2(pattern)}', 0, 'i'))"
+
+
+PAT = T.Patterns()
+ODD = "‡ƒ¦„¥‚┫�"
+NOISE = " OR ".join([
+    *[has("x", p) for p in (PAT.broken_url, PAT.url, PAT.email, PAT.doi, PAT.phone, PAT.admin)],
+    f"({has('x', PAT.numbered, 'c')} AND {has('x', PAT.reference)})",
+    f"({has('x', PAT.person, 'c')} AND len(list_filter(regexp_split_to_array(x, '\\s+'), lambda y: y <> '')) > 5 AND ({sql_hits(norm_of('x'), SAMPLE.terms)}) = 0)",
+    f"{norm_of('x')} IN ({', '.join(repr(h) for h in SAMPLE.drop_headings)})",
+])
+
+
+def _cleaned() -> str:
+    c = "regexp_replace(text, chr(13) || chr(10) || '|' || chr(13) || '|' || chr(8232) || '|' || chr(8233), chr(10), 'g')"
+    c = f"regexp_replace({c}, '[' || chr(65279) || chr(8203) || ']', '', 'g')"
+    c = f"regexp_replace({c}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', ' ', 'g')"
+    for p in (PAT.broken_url, PAT.url, PAT.doi, PAT.email):
+        c = f"regexp_replace({c}, '{re2(p).replace('(?:^|', '(^|', 1) if p.startswith('(?i)(?<!') else '()(?:' + re2(p) + ')'}', '\\1 ', 'gi')"
+    c = f"regexp_replace({c}, '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')"
+    c = f"regexp_replace({c}, '(?m)^[ \\t]*[•●▪◦][ \\t]*', '- ', 'g')"
+    c = f"string_split(regexp_replace({c}, '[ \\t]+', ' ', 'g'), chr(10))"
+    kept = f"list_filter(list_transform({c}, lambda x: trim(x)), lambda x: x = '' OR NOT ({NOISE}))"
+    return f"trim(regexp_replace(array_to_string({kept}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'))"
+
+
+#: The metrics that classifiers share, as SQL over a table with a column text.
+METRICS = f"""*, {NORM} AS norm, len(regexp_extract_all(text, '{W}')) AS words, {LINES} AS ls, {norm_of("substr(text, 1, 2500)")} AS norm_head, {RATIO} AS ratio,
+ CASE WHEN length(text) > 0 THEN (length(text) - length(translate(text, '{ODD}', '')) + greatest(0, length(text) - length(replace(text, '"', '')) - 4)) / length(text) ELSE 0 END AS suspicious,
+ {" + ".join(found("text", p) for p in (PAT.reference, PAT.url, PAT.broken_url, PAT.doi, PAT.bibliography))} AS markers"""
+LEADERS, SHORT = ("len(list_filter(ls, lambda x: " + c + "))" for c in ("regexp_matches(x, '\\.{3,}\\s*\\d+$')", "length(x) <= 28"))
+DROPS = f"""WITH p AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, {_cleaned()} AS text FROM documents), m AS (SELECT {METRICS} FROM p), s AS (SELECT *, {WHOLE_SCORE} AS score FROM m),
+ r AS (SELECT CASE WHEN length(text) < 180 OR words < 25 THEN 'too_short' WHEN suspicious >= 0.018e0 THEN 'corrupt_extraction'
+  WHEN page <= 2 AND ({sql_hits("norm_head", SAMPLE.credits)}) > 0 AND score < 3 THEN 'cover_or_credits'
+  WHEN len(list_filter(ls[1:15], lambda x: {norm_of("x")} IN ({", ".join(repr(h) for h in SAMPLE.drop_headings)}))) > 0 THEN 'non_clinical_section'
+  WHEN ({sql_hits("substr(norm_head, 1, 800)", SAMPLE.index_terms)}) > 0 AND ({LEADERS} >= 3 OR score < 4) THEN 'index_or_table_of_contents'
+  WHEN {" OR ".join(f"starts_with(norm_head, '{h}')" for h in SAMPLE.drop_headings)} THEN 'non_clinical_section'
+  WHEN (ratio >= 0.45e0 AND score < 6) OR (markers >= 5 AND score < 10) THEN 'reference_heavy'
+  WHEN len(ls) >= 12 AND {SHORT} >= len(ls) * 0.72e0 AND score < 5 THEN 'fragmented_text' ELSE '' END AS drop_reason FROM s)
+ SELECT drop_reason, count(*) AS pages FROM r GROUP BY drop_reason"""
+TOKENS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
+STRIPPED = f"trim(array_to_string(list_filter(string_split(regexp_replace(text, '{re2(PAT.answer_key)}', ' ', 'gi'), chr(10)), lambda x: NOT regexp_matches(x, '\\.{{4,}}')), chr(10)))"
+FLAGS = f"""WITH m AS (SELECT {METRICS}, {STRIPPED} AS stripped, {found("text", T.EDGE_L + r"\d+[.,]\d+" + T.EDGE_R)} AS decimals,
+ len(list_filter({TOKENS}, lambda x: regexp_matches(x, '\\d'))) / greatest(1, len({TOKENS})) AS numbers FROM documents),
+ s AS (SELECT *, {WHOLE_SCORE} AS score, greatest(1, ceil(words * 1.35e0)) AS tokens, greatest(1, ceil(len(regexp_extract_all(stripped, '{W}')) * 1.35e0)) AS stripped_tokens, len(list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> ''))) AS variety FROM m)
+ SELECT doc_id, concat_ws(',', CASE WHEN tokens < 180 THEN 'short_chunk' END, CASE WHEN tokens > 1500 THEN 'long_chunk' END, CASE WHEN score < 5 THEN 'low_clinical_score' END, CASE WHEN ratio >= 0.3e0 THEN 'reference_heavy' END,
+  CASE WHEN markers >= 4 THEN 'reference_markers' END, CASE WHEN suspicious >= 0.012e0 THEN 'corrupt_extraction' END, CASE WHEN numbers >= 0.38e0 THEN 'numeric_or_table_heavy' END, CASE WHEN decimals >= 12 THEN 'decimal_table_like' END,
+  CASE WHEN variety < 35 THEN 'low_vocabulary_variety' END) AS flags,
+ CASE WHEN stripped_tokens < 180 THEN 'too_short_after_noise_cleanup' WHEN tokens < 180 THEN 'too_short' WHEN score < 4 THEN 'low_clinical_score' WHEN ratio >= 0.45e0 OR markers >= 4 THEN 'reference_heavy'
+  WHEN suspicious >= 0.012e0 THEN 'corrupt_extraction' WHEN contains(norm, 'license') THEN 'admin_or_contact_text' WHEN (numbers >= 0.38e0 OR decimals >= 12) AND score < 9 THEN 'numeric_or_table_heavy'
+  WHEN {has("stripped", PAT.answer_key)} THEN 'exam_answer_key' WHEN regexp_matches(text, '\\.{{4,}}') AND score < 10 THEN 'toc_or_layout_noise' ELSE '' END AS reject_reason FROM s"""
+
+
+@query("page_drop_reasons", DROPS)
 def page_drop_reasons(spark, sf_dir):
     """Pages by drop reason."""
     pages = classify.page_metrics(corpus.paged(documents(spark, sf_dir)), SAMPLE, clean=True)
     return pages.groupBy(classify.drop_reason(SAMPLE).alias("drop_reason")).agg(F.count("*").alias("pages"))
 
 
-@query("chunk_quality_flags")
+@query("chunk_quality_flags", FLAGS)
 def chunk_quality_flags(spark, sf_dir):
     return classify.page_metrics(documents(spark, sf_dir), SAMPLE).select("doc_id", F.array_join(classify.quality_flags(), ",").alias("flags"), classify.reject_reason(("license",)).alias("reject_reason"))
 
@@ -193,7 +264,10 @@ def repeated_lines(spark, sf_dir):
     return corpus.repeated_lines(corpus.paged(documents(spark, sf_dir)), ratio=0.05).select("source", "signature", "pages")
 
 
-@query("without_repeated_lines")
+@query("without_repeated_lines", f"""WITH cut AS (SELECT source, list(signature) AS cut FROM ({REPEATED}) GROUP BY source),
+ l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), n AS (SELECT doc_id, source, pos, text, {NORM} AS n FROM l),
+ s AS (SELECT doc_id, pos, text, coalesce(list_contains(cut, {SIG}), false) AS gone FROM n LEFT JOIN cut USING (source))
+ SELECT doc_id, md5(coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_md5 FROM s GROUP BY doc_id""")
 def without_repeated_lines(spark, sf_dir):
     pages = corpus.paged(documents(spark, sf_dir))
     return corpus.without_lines(pages, corpus.repeated_lines(pages, ratio=0.05)).select("doc_id", F.md5("text").alias("text_md5"))
@@ -235,7 +309,19 @@ def pack_chunks(spark, sf_dir):
     return corpus.pack_chunks(pages).select("source", "chunk", "token_estimate", F.md5("text").alias("text_md5"))
 
 
-@query("document_split")
+def _held(name: str, of: str) -> str:
+    """Recursive SQL: whole sources, each time the one nearest to what is missing; from the third on only where that comes nearer."""
+    pick = "min(struct_pack(big := CASE WHEN k = 0 AND n > round(0.75e0 * goal) THEN 1 ELSE 0 END, far := abs(goal - total - n), source := source, n := n))"
+    return f"""{name}(k, chosen, total, goal) AS (SELECT 0, []::VARCHAR[], 0::BIGINT, goal FROM goal UNION ALL
+  SELECT k + 1, list_append(chosen, best.source), total + best.n, goal FROM (SELECT k, chosen, total, goal, {pick} AS best FROM {name}, {of} WHERE NOT list_contains(chosen, source) AND goal > 0 GROUP BY ALL)
+  WHERE NOT (k >= 3 AND best.far >= abs(goal - total)))"""
+
+
+@query("document_split", f"""WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), goal AS (SELECT round(sum(n) * 0.1e0)::BIGINT AS goal FROM c), {_held("t", "c")},
+ tests AS (SELECT unnest(arg_max(chosen, k)) AS source FROM t), d AS (SELECT c.* FROM c ANTI JOIN tests USING (source)), {_held("v", "d")},
+ vals AS (SELECT unnest(arg_max(chosen, k)) AS source FROM v),
+ s AS (SELECT n, CASE WHEN t.source IS NOT NULL THEN 'test' WHEN v.source IS NOT NULL THEN 'validation' ELSE 'train' END AS split FROM c LEFT JOIN tests t ON t.source = c.source LEFT JOIN vals v ON v.source = c.source)
+ SELECT split, sum(n)::BIGINT AS chunks, count(*) AS documents FROM s GROUP BY split""")
 def document_split(spark, sf_dir):
     split = corpus.split_by_document(documents(spark, sf_dir), 0.1, 0.1)
     return split.groupBy("split").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("documents"))

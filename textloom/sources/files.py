@@ -116,7 +116,7 @@ def extract_pages(spark: SparkSession, path: str, factory, pattern: str = "*.pdf
 
     The factory makes the reader on a worker: bytes to (text, tables) of each page, tables as rows of cells. A file that
     can't be read is one row with its error and page 0; a file without pages is one row with page 0 and no error. Spark does
-    not read files of no bytes: they give no row (list_files shows them neither).
+    not read files of no bytes: they give no row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
 
