@@ -165,7 +165,8 @@ def has(c: str, pattern: str, flags: str = "i") -> str:
 
 
 def found(c: str, pattern: str) -> str:
-    return f"len(regexp_extract_all({c}, '{re2(pattern)}', 0, 'i'))"
+    """How often a pattern comes; blanks are doubled, so that neighbours each have an edge of their own."""
+    return f"len(regexp_extract_all(regexp_replace({c}, '(\\s)', '\\1\\1', 'g'), '{re2(pattern).replace(' ', ' +')}', 0, 'i'))"
 
 
 PAT = T.Patterns()
