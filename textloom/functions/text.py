@@ -25,7 +25,10 @@ class Patterns:
     email: str = r"(?i)[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
     doi: str = r"(?i)(?<![\p{L}\p{N}_])(?:doi\s*:?\s*)?10\.\d{4,9}/\S+"
     phone: str = r"(?i)(?<![\p{L}\p{N}_])(?:tel(?:e?fono)?|tel[eé]fono|fax|lada sin costo|conmutador)(?![\p{L}\p{N}_])|(?:\+?\d{1,3}[\s-]?)?(?:\(?\d{2,4}\)?[\s-]?){2,}\d{2,4}"
-    reference: str = r"(?i)(?<![\p{L}\p{N}_])(?:doi|isbn|issn|pmid|revista|journal|vol\.?|ed\.?|editorial)(?![\p{L}\p{N}_])|\(\d{4}\)|(?<![\p{L}\p{N}_])\d{4};\d+|(?<![\p{L}\p{N}_])et\s+al(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])disponible en(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])consultad[oa](?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])citad[oa](?![\p{L}\p{N}_])"
+    reference: str = (
+        r"(?i)(?<![\p{L}\p{N}_])(?:(?:doi|isbn|issn|pmid|revista|journal|vol\.?|ed\.?|editorial)(?![\p{L}\p{N}_])|\d{4};\d+|et\s+al(?![\p{L}\p{N}_])|"
+        r"disponible en(?![\p{L}\p{N}_])|consultad[oa](?![\p{L}\p{N}_])|citad[oa](?![\p{L}\p{N}_]))|\(\d{4}\)"
+    )
     bibliography: str = r"(?i)(?<![\p{L}\p{N}_])(?:referencias|bibliografia|bibliografía)(?![\p{L}\p{N}_])"
     admin: str = (
         r"(?i)(?<![\p{L}\p{N}_])(?:isbn|issn|copyright|derechos reservados|agradecimientos?|directorio|relacion general de autores|"
@@ -67,15 +70,17 @@ _FROM, _TO, _SEVERAL = _folding()
 def fold(c: Column) -> Column:
     """Compatibility decomposition without marks, exact below U+0250 and for Latin ligatures; other marks are dropped by class."""
     whole = F.translate(c, _FROM, _TO)
+    longer = whole
     for a, b in _SEVERAL:
-        whole = F.replace(whole, F.lit(a), F.lit(b))
-    # most texts hold nothing to fold: one test spares them all passes
+        longer = F.replace(longer, F.lit(a), F.lit(b))
+    # few texts hold a character that becomes several, and many nothing to fold: a test spares them the passes
+    whole = F.when(F.translate(c, "".join(a for a, _ in _SEVERAL), "") != c, longer).otherwise(whole)
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(whole, r"\p{M}", "")).otherwise(c)
 
 
 def normalize(c: Column) -> Column:
     """Lower-case a-z and 0-9 with single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(fold(c)), r"[^a-z0-9\s]", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(fold(c)), r"[^a-z0-9]+", " "))
 
 
 def slug(path: Column) -> Column:
@@ -166,7 +171,8 @@ def tokens(c: Column) -> Column:
 
 
 def numeric_token_ratio(c: Column) -> Column:
-    return _share(F.filter(tokens(c), lambda w: w.rlike(r"\d")), tokens(c))
+    n = F.regexp_count(c, F.lit(r"(?U)\S+"))
+    return F.when(n > 0, F.regexp_count(c, F.lit(r"(?U)(?<!\S)[^\s0-9]*+[0-9]\S*+")) / n.cast("double")).otherwise(F.lit(0.0))
 
 
 def decimal_count(c: Column) -> Column:
