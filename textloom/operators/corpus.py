@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from textloom.functions import plain
 from textloom.functions import text as T
 from textloom.functions.packs import Pack
+from textloom.operators import ordered
 
 
 def paged(documents: DataFrame) -> DataFrame:
     """Documents as pages of their source: page is the rank by id, as there is no order but an explicit one."""
-    return documents.withColumn("page", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    return ordered.numbered(documents, F.col("source"), ["doc_id"], "page")
 
 
 def repeated_lines(pages: DataFrame, ratio: float = 0.28, least: int = 3, longest: int = 120) -> DataFrame:
@@ -36,8 +37,8 @@ def without_lines(pages: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def sections(pages: DataFrame, heading: Column) -> DataFrame:
     """section: the last heading so far in the source, empty before the first."""
-    w = Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    return pages.withColumn("section", F.coalesce(F.last(heading, ignorenulls=True).over(w), F.lit("")))
+    rows = ordered.filled(pages, F.col("source"), "page", heading, "section")
+    return rows.withColumn("section", F.coalesce("section", F.lit("")))
 
 
 def keep_best(chunks: DataFrame, key: Column, order: list) -> DataFrame:
@@ -45,9 +46,10 @@ def keep_best(chunks: DataFrame, key: Column, order: list) -> DataFrame:
     return chunks.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def numbered_ids(chunks: DataFrame, source: Column, order: list) -> DataFrame:
+def numbered_ids(chunks: DataFrame, source: Column, order: list[str]) -> DataFrame:
     """chunk_id: the source's slug and a running number of five digits."""
-    return chunks.withColumn("chunk_id", F.format_string("%s_%05d", T.slug(source), F.row_number().over(Window.partitionBy(T.slug(source)).orderBy(*order))))
+    rows = ordered.numbered(chunks.withColumn("_slug", T.slug(source)), F.col("_slug"), order, "_n")
+    return rows.withColumn("chunk_id", F.format_string("%s_%05d", "_slug", "_n")).drop("_slug", "_n")
 
 
 def pack_chunks(pages: DataFrame, target: int | None = None, most: int = 1200, overlap: int = 100, pack: Pack = Pack()) -> DataFrame:
@@ -138,9 +140,10 @@ def systematic_split(chunks: DataFrame, ratio: float, seed: int = 42, doc: str =
     """Every k-th chunk of a document for validation, k = round(1 / ratio), from a seeded offset; up to two chunks all train."""
     k = max(2, round(1 / ratio))
     offset = random.Random(seed).randrange(k) if offset is None else offset
-    w = Window.partitionBy(doc)
-    n = F.row_number().over(w.orderBy(order)) - 1
-    return chunks.withColumn("split", F.when((F.count("*").over(w) > 2) & (F.pmod(n + offset, F.lit(k)) == 0), "validation").otherwise("train"))
+    sizes = chunks.groupBy(F.col(doc).alias("_doc")).agg(F.count("*").alias("_size"))  # a row a document
+    rows = ordered.numbered(chunks, F.col(doc), [order], "_n").join(sizes, F.col(doc).eqNullSafe(F.col("_doc")))
+    chosen = (F.col("_size") > 2) & (F.pmod(F.col("_n") - 1 + offset, F.lit(k)) == 0)
+    return rows.withColumn("split", F.when(chosen, "validation").otherwise("train")).drop("_n", "_doc", "_size")
 
 
 def leakage(splits: DataFrame, doc: str = "source") -> DataFrame:

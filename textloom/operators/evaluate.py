@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators import ordered
+
 
 def summary(rows: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     """For each group: rows, and count, mean, least and greatest of each metric; nulls and NaN are left out."""
@@ -62,8 +64,7 @@ def examples(rows: DataFrame, order: list, n: int = 10) -> DataFrame:
 
 def running_sample(pages: DataFrame, until: int = 3000, cut: int = 2000) -> DataFrame:
     """Text of a source's first pages until so many characters, cut."""
-    w = Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    before = pages.withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).where(F.col("before") < until)
+    before = ordered.summed_before(pages, F.col("source"), "page", F.length("text"), "before").where(F.col("before") < until)
     parts = F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"])
     return before.groupBy("source").agg(F.substring(F.array_join(parts, "\n"), 1, cut).alias("sample"))
 
