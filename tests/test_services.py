@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from textloom.functions import prompts
-from textloom.operators import manifest, models, similarity
+from textloom.operators import incremental, manifest, models, similarity
 from textloom.sources import files
 from textloom.streaming import files as streams
 
@@ -220,3 +220,9 @@ def test_hyde_search(spark):
     assert models.search("hyde", asked, {"hyde": lambda q: models.hyde_search(q, vectors, models.EchoGenerator, models.LetterEncoder, 2)}).count() == 4
 
 
+
+
+def test_upsert_ties(spark):
+    schema = "pdf_id string, at int, v string"
+    old, new = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("c", 1, "x")], schema), spark.createDataFrame([("a", 1, "y"), ("a", 1, "z"), ("b", 1, "y")], schema)
+    assert {tuple(r) for r in incremental.upsert(old, new, "pdf_id", "at").collect()} == {("a", 1, "z"), ("b", 2, "x"), ("c", 1, "x")}

@@ -35,9 +35,10 @@ def new_chunks(batch: DataFrame, known: DataFrame, order: list, text: str = "tex
 
 
 def upsert(manifest: DataFrame, entries: DataFrame, key: str, order: str) -> DataFrame:
-    """Last write wins."""
-    rows = manifest.unionByName(entries)
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    """Last write wins; of equally late rows one of entries, then the one with the larger JSON."""
+    rows = manifest.withColumn("_new", F.lit(0)).unionByName(entries.withColumn("_new", F.lit(1)))
+    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("_new"), F.desc(F.to_json(F.struct(*manifest.columns))))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
 def fill_missing(rows: DataFrame, values: dict[str, str]) -> DataFrame:
