@@ -5,6 +5,9 @@ bits. Distinct fingerprints are dealt to buckets by each block's value; a bucket
 into tiles, and tiles are compared whole, with numpy's exclusive or and bit counts. Tile pairs whose population counts
 are more than r apart are skipped. A bucket above CHUNK rows is dealt to several tasks as pairs of chunks. A tile pair
 returns a spanning forest of its links, never all its pairs, so a group of n near copies costs about n rows.
+
+Radii too wide for such blocks take wide fingerprints (wide, meetings): many blocks, of which pairs in question share one
+with a known chance, and the same buckets, chunks and tiles.
 """
 
 from __future__ import annotations
@@ -55,6 +58,25 @@ def majority(hashes: np.ndarray) -> int:
     return int(((2 * counts > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
+def wide(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A SimHash fingerprint of so many 64-bit words: the first is majority(hashes), each other one that of the hashes mixed anew."""
+    n, salts = len(hashes), np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * words, dtype=np.int64)
+    step = max(255, BLOCK // words // 255 * 255)
+    for at in range(0, n, step):
+        part = hashes[at : at + step]
+        mixed = part[:, None] ^ salts
+        for odd in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            mixed ^= mixed >> np.uint64(33)
+            mixed *= np.uint64(odd)
+        mixed ^= mixed >> np.uint64(33)
+        mixed[:, 0] = part
+        bits, whole = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little"), len(part) // 255 * 255
+        counts += bits[:whole].reshape(-1, 255, 64 * words).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        counts += bits[whole:].sum(axis=0, dtype=np.uint8)
+    return ((2 * counts > n).reshape(words, 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3, seed: int = 42, keep: dict | None = None) -> DataFrame:
     """The columns in keep (name: expression), and fp long: the signed form of each text's fingerprint; a null text is empty."""
     import pyarrow as pa
@@ -72,33 +94,34 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3, seed:
     return kept.mapInArrow(run, out.schema)
 
 
+def tiles(counts: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int):
+    """Pairs (x, y) of tiles, and whether they are one, of rows of left and right (of left alone where right is None) whose population counts allow radius bits."""
+    cut = lambda rows: [rows[i : i + TILE] for i in range(0, len(rows), TILE)]
+    first = cut(left[np.argsort(counts[left], kind="stable")])
+    second = first if right is None else cut(right[np.argsort(counts[right], kind="stable")])
+    for i, x in enumerate(first):
+        for y in second[i:] if right is None else second:
+            if counts[y[0]] - counts[x[-1]] > radius:
+                break
+            if counts[x[0]] - counts[y[-1]] <= radius:
+                yield x, y, x is y
+
+
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (u, v) between fingerprints of a and b, or among a where b is None; nothing is lost but redundant links."""
-    own = b is None
-    points = a if own else np.concatenate([a, b])
-    counts = np.bitwise_count(points).astype(np.int16)
-    order = np.argsort(counts[: len(a)], kind="stable")
-    left = [order[i : i + TILE] for i in range(0, len(a), TILE)]
-    right = left
-    if not own:
-        order = len(a) + np.argsort(counts[len(a) :], kind="stable")
-        right = [order[i : i + TILE] for i in range(0, len(order), TILE)]
+    points = a if b is None else np.concatenate([a, b])
+    right = None if b is None else np.arange(len(a), len(points))
     label = np.arange(len(points))
-    for i, x in enumerate(left):
-        for y in right[i:] if own else right:
-            if counts[y[0]] - counts[x[-1]] > radius:
-                break
-            if counts[x[0]] - counts[y[-1]] > radius:
-                continue
-            close = np.bitwise_count(points[x][:, None] ^ points[y][None, :]) <= radius
-            if own and x is y:
-                close = np.triu(close, 1)
-            u, v = np.nonzero(close)
-            if len(u):
-                u, v = x[u], y[v]
-                new = label[u] != label[v]
-                if new.any():
-                    label = _merge(label, u[new], v[new])
+    for x, y, one in tiles(np.bitwise_count(points).astype(np.int16), np.arange(len(a)), right, radius):
+        close = np.bitwise_count(points[x][:, None] ^ points[y][None, :]) <= radius
+        if one:
+            close = np.triu(close, 1)
+        u, v = np.nonzero(close)
+        if len(u):
+            u, v = x[u], y[v]
+            new = label[u] != label[v]
+            if new.any():
+                label = _merge(label, u[new], v[new])
     moved = np.nonzero(label != np.arange(len(points)))[0]
     return points[moved], points[label[moved]]
 
@@ -107,6 +130,24 @@ def _merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return forest(label[u], label[v], len(label))[label]
 
 
+def place(dealt: DataFrame, bucket: list[str], key: str, n: int) -> DataFrame:
+    """dealt, of n rows, with the task g, the chunks (i, j) of the bucket that a row is compared in, and the row's own chunk c."""
+    counts = dealt.groupBy(*bucket).agg(F.count("*").alias("rows"))
+    large = counts.where(F.col("rows") > CHUNK)
+    # chunks of the large buckets; their number is small, as each holds over CHUNK of the fingerprints
+    chunks = F.coalesce(F.ceil(F.col("rows") / F.lit(float(CHUNK))).cast("int"), F.lit(1))
+    placed = dealt.join(large, bucket, "left").select(*dealt.columns, chunks.alias("k"))
+    mine = F.when(F.col("k") > 1, F.pmod(F.xxhash64(key, F.lit(7)), F.col("k")).cast("int")).otherwise(F.lit(0))
+    placed = placed.withColumn("c", mine).select(*dealt.columns, "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    task = F.struct(*bucket, F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    placed = placed.select(*[x for x in dealt.columns if x not in bucket], "c", task.alias("task"))
+
+    # small buckets share tasks: as many groups as keep a task near CHUNK rows
+    groups = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // CHUNK)
+    placed = placed.withColumn("g", F.pmod(F.xxhash64("task"), F.lit(groups)).cast("int"))
+    return placed.select("g", *[F.col(f"task.{x}").alias(x) for x in [*bucket, "i", "j"]], *[x for x in placed.columns if x not in ("task", "g")])
+
+
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """(u, v) such that two fingerprints reach each other over these rows just if they do so over links of at most radius bits.
 
@@ -117,22 +158,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
     block = lambda lo, hi: F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
     dealt = fps.select("fp", F.posexplode(F.array(*[block(lo, hi) for lo, hi in zip(cuts, cuts[1:])])).alias("block", "value"))
-    counts = dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
-    large = counts.where(F.col("n") > CHUNK)
-    # chunks of the large buckets; their number is small, as each holds over CHUNK of the fingerprints
-    chunks = F.coalesce(F.ceil(F.col("n") / F.lit(float(CHUNK))).cast("int"), F.lit(1))
-    placed = dealt.join(large, ["block", "value"], "left").select("fp", "block", "value", chunks.alias("k"))
-    mine = F.when(F.col("k") > 1, F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k")).cast("int")).otherwise(F.lit(0))
-    placed = placed.withColumn("c", mine).select("fp", "block", "value", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    task = F.struct("block", "value", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
-    placed = placed.select("fp", "c", task.alias("task"))
-
-    # small buckets share tasks: as many groups as keep a task near CHUNK rows
-    spark = fps.sparkSession
-    n = fps.count()
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (radius + 1) * n // CHUNK)
-    placed = placed.withColumn("g", F.pmod(F.xxhash64("task"), F.lit(groups)).cast("int"))
-    placed = placed.select("g", F.col("task.block").alias("block"), F.col("task.value").alias("value"), F.col("task.i").alias("i"), F.col("task.j").alias("j"), "c", "fp")
+    placed = place(dealt, ["block", "value"], "fp", (radius + 1) * fps.count())
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         us, vs = [], []
@@ -156,6 +182,70 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return placed.groupBy("g").applyInPandas(compare, "u long, v long")
 
 
+def _meet(radius: int, close: int, share: float, large: int):
+    """Rows (kind, u, v, n, a, b) of meetings for the buckets of a task."""
+    import pandas as pd
+
+    def run(pdf):
+        pdf = pdf.sort_values(["bucket", "i", "j", "node"], kind="stable")
+        task, own = pdf[["bucket", "i", "j"]].to_numpy(np.int64), pdf.c.to_numpy()
+        node, n = pdf.node.to_numpy(), pdf.n.to_numpy().astype(np.int64)
+        fp = pdf[["a", "b"]].to_numpy(np.int64).view(np.uint64)
+        start = np.nonzero(np.r_[True, (task[1:] != task[:-1]).any(axis=1)])[0]
+        size = np.diff(np.r_[start, len(pdf)])
+        of, many = np.repeat(start, size), np.repeat(size, size)
+        count = np.bitwise_count(fp).sum(axis=1, dtype=np.int16)
+        # of its partners before it in the bucket: the nearest (bits apart, then place), and how many there are
+        nearest, partners, near = np.full(len(pdf), 1 << 40), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
+
+        def note(x, y, apart):
+            good = np.minimum(n[x], n[y]) >= share * np.maximum(n[x], n[y])
+            x, y, apart = np.minimum(x, y)[good], np.maximum(x, y)[good], apart[good].astype(np.int64)
+            np.minimum.at(nearest, y, (apart << 32) | x)
+            np.add.at(partners, y, 1)
+            near[x] = near[y] = True
+
+        # small buckets all at once
+        for d in range(1, min(large, int(size.max()))):
+            x = np.nonzero((many[:-d] <= large) & (of[d:] == of[:-d]))[0]
+            apart = np.bitwise_count(fp[x] ^ fp[x + d]).sum(axis=1)
+            note(x[apart <= radius], x[apart <= radius] + d, apart[apart <= radius])
+        for s, k in zip(start[size > large], size[size > large]):
+            rows, (_, i, j) = np.arange(s, s + k), task[s]
+            parts = (rows, None) if i == j else (rows[own[s : s + k] == i], rows[own[s : s + k] == j])
+            for x, y, one in tiles(count, *parts, radius):
+                apart = np.bitwise_count(fp[x, 0][:, None] ^ fp[y, 0][None, :])
+                apart += np.bitwise_count(fp[x, 1][:, None] ^ fp[y, 1][None, :])
+                u, v = np.nonzero(np.triu(apart <= radius, 1) if one else apart <= radius)
+                note(x[u], y[v], apart[u, v])
+        y = np.nonzero(nearest < (close + 1 << 32))[0]
+        x, k = nearest[y] & 0xFFFFFFFF, np.nonzero(near & np.isin(of, of[partners > (nearest < (close + 1 << 32))]))[0]
+        pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), axis=0)
+        none = np.zeros(len(pairs), np.int64)
+        out = pd.DataFrame({"kind": none.astype(np.int32), "u": pairs[:, 0], "v": pairs[:, 1], "n": none.astype(np.int32), "a": none, "b": none})
+        u = (task[k, 0] << 40) | (task[k, 1] << 20) | task[k, 2]
+        more = pd.DataFrame({"kind": np.ones(len(k), np.int32), "u": u, "v": node[k], "n": n[k].astype(np.int32), "a": fp[k, 0].view(np.int64), "b": fp[k, 1].view(np.int64)})
+        return pd.concat([out, more])
+
+    return run
+
+
+def meetings(fps: DataFrame, bits: int, radius: int, close: int, share: float, large: int) -> DataFrame:
+    """Pairs of wide fingerprints that agree in one of the blocks of so many bits and differ in radius of their first 128 bits at most.
+
+    fps: one row for each node, columns node long, n int and fp array<long>; pairs whose n are below share of each other are
+    left out. Returns (kind, u, v, n, a, b). Kind 0: a pair of nodes u, v; of a node's partners before it in a bucket, the
+    nearest, if it is within close bits. Where that leaves pairs out, kind 1 holds all nodes v of the bucket u that have a partner, with n and the first
+    two words; all other pairs are in kind 0. Buckets of large rows at most are compared together.
+    """
+    each = 64 // bits
+    words = fps.select(F.size("fp")).first()
+    blocks = (words[0] if words else 1) * each
+    value = f"cast(shiftrightunsigned(fp[cast(x div {each} AS int)], cast({bits} * (x % {each}) AS int)) & {(1 << bits) - 1}L AS int)"
+    dealt = fps.select("node", "n", F.col("fp")[0].alias("a"), F.col("fp")[1].alias("b"), F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), x -> x * {1 << bits} + {value})")).alias("bucket"))
+    return place(dealt, ["bucket"], "node", blocks * fps.count()).groupBy("g").applyInPandas(_meet(radius, close, share, large), "kind int, u long, v long, n int, a long, b long")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id, digest) for each row of docs, whatever else its columns are called.
 

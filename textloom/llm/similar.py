@@ -1,17 +1,15 @@
 """SimHash near-duplicates at a Jaccard similarity of word shingles, verified shingle by shingle.
 
-SimHash fingerprints of pairs at similarity 0.8 differ in 10 of 64 bits in the mean, too many for the blocks that serve a
-radius of 3 (see simhash). Texts meet by rare shingles instead: shingles are ordered from rare to common, and two sets of
-n and m with similarity t or more share one of the first n - ceil(t n) + 1 and m - ceil(t m) + 1 (prefix filter). The
-frequencies behind the order come from a sample; they decide how many texts meet, never which pairs are found. Texts that
-meet are compared by exclusive or and bit counts of their fingerprints: pairs more than RADIUS bits apart are skipped. A
-pair at 0.8 differs in each bit with probability 0.19 at most, so it is lost with a probability of about one in 100,000.
-All other early tests are bounds that no pair at the threshold breaks: the sizes' ratio, the shingles left after the
-shared one, and the Hamming distance of parity sketches. What is left is compared shingle by shingle, so no pair below
-the threshold is linked.
-
-A shingle of over LARGE texts first links them to neighbours and to a hub; its other pairs are compared only where these
-links have not joined them already, so a group of n near copies costs far fewer than its pairs.
+Fingerprints of 64 bits of pairs at similarity 0.8 differ in 10 bits in the mean, too many for the blocks that serve a radius
+of 3 (see simhash). Fingerprints here have WORDS times 64 bits. They are dealt by their blocks of BITS bits, and those that
+share a block are compared in tiles by exclusive or and bit counts of their first 128 bits (simhash.meetings); pairs within
+RADIUS bits are candidates. A bit differs with probability 0.15 for a pair at 0.8 (0.19 for the smallest, of 4 and 5
+shingles), so none of 100 blocks is shared with one of 3,000,000 (5,000), and over RADIUS bits differ in fewer than one
+of 1,000,000 (20,000). What then follows loses no pair at the threshold: bounds by the sizes' ratio and the Hamming
+distance of parity sketches, and at last all shingles, so that no pair below the threshold is linked.
+
+A bucket first links each text to the nearest before it, within CLOSE bits; its other pairs are compared only where these links have not
+joined them already, so a group of n near copies costs far fewer than its pairs.
 """
 
 from __future__ import annotations
@@ -25,17 +23,19 @@ from pyspark.sql import functions as F
 from textloom.llm import shared, simhash
 from textloom.llm.components import components
 
-#: Texts of a shingle up to this number meet at once.
+#: Buckets of so many texts at most are compared together.
 LARGE = 16
-#: Fingerprints of pairs that are compared differ in so many bits at most.
-RADIUS = 26
+#: 64-bit words of a fingerprint, and bits of the blocks by which fingerprints are dealt.
+WORDS, BITS = 20, 12
+#: The first 128 bits of fingerprints that are compared further differ in so many at most.
+RADIUS = 42
+#: Pairs of so many bits at most are compared at once, others where those have not joined them.
+CLOSE = 24
 #: Bits of a parity sketch.
 SKETCH = 1024
-#: Texts whose shingles are counted, and shingles that are known as common, at most.
-SAMPLE, COMMON = 10_000, 100_000
 #: Bits of the table that marks which texts may be compared; more texts than bits cost a second look, not a pair.
 MARKS = 1 << 20
-#: Rows of a task that lets texts meet.
+#: Rows of a task that looks at buckets again.
 ROWS = 100_000
 
 
@@ -50,28 +50,9 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def _common(docs: DataFrame, text: str, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several texts of a sample, sorted, and how many texts have each."""
-    parts = max(1, docs.count() // SAMPLE)
-    drawn = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).where(F.pmod(F.xxhash64("_text", F.lit(seed)), F.lit(parts)) == 0).limit(2 * SAMPLE)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words, seed).view(np.int64))], names=["token"])
-
-    found = drawn.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
-    tokens, n = found.token.to_numpy(np.int64).view(np.uint64), found.n.to_numpy(np.int64)
-    order = np.argsort(tokens)
-    return tokens[order], n[order]
-
-
-def _sets(docs: DataFrame, id_col: str, text_col: str, t: Fraction, words: int, seed: int) -> DataFrame:
-    """(doc_id, digest, set_id, n, fp, sketch, prefix) for each row of docs; shingles themselves are made again for texts that are compared."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
+    """(doc_id, digest, set_id, n, fp, sketch) for each row of docs; shingles themselves are made again for texts that are compared."""
     shared.bound_batches(docs.sparkSession)
-    tokens, n = _common(docs, text_col, words, seed)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("_text"))
 
@@ -80,65 +61,21 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, t: Fraction, words: int,
         import xxhash
 
         for b in batches:
-            ids, sizes, prints, sketches, prefixes = [], [], [], [], []
+            ids, sizes, prints, sketches = [], [], [], []
             for x in b.column(2):
                 own = shingle_set(x.as_py(), words, seed)
-                at = np.minimum(np.searchsorted(tokens, own), max(len(tokens) - 1, 0))
-                often = np.where(tokens[at] == own, n[at], 0) if len(tokens) else np.zeros(len(own), np.int64)
-                first = len(own) - -(-t.numerator * len(own) // t.denominator) + 1 if len(own) else 0
                 ids.append(xxhash.xxh64_intdigest(own.tobytes(), seed))
                 sizes.append(len(own))
-                prints.append(simhash.majority(own))
+                prints.append(simhash.wide(own, WORDS).view(np.int64))
                 sketches.append(parity(own))
-                prefixes.append(own[np.lexsort((own, often))[:first]].view(np.int64))
-            columns = [b.column(0), b.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sketches, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "set_id", "n", "fp", "sketch", "prefix"])
-
-    return shared.save(rows.mapInArrow(run, "doc_id long, digest long, set_id long, n int, fp long, sketch array<long>, prefix array<long>"), "shingles")
-
+            columns = [b.column(0), b.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "set_id", "n", "fp", "sketch"])
 
-def _may(t: Fraction, n, i, m, j):
-    """Whether sets of n <= m shingles that first meet at places i and j can be similar enough."""
-    a, b = t.numerator, t.denominator
-    return (n * b >= a * m) & (np.minimum(n - i, m - j) * (a + b) >= a * (n + m))
-
-
-def _meet(t: Fraction):
-    """(kind, u, v, n, i, fp): kind 0 is a pair of sets to compare; kind 1 a row (token, set, n, i) of a shingle of over LARGE sets, with its fp."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["token", "n", "set_id"], kind="stable")
-        token, key = pdf.token.to_numpy(), pdf.set_id.to_numpy()
-        n, i, fp = pdf.n.to_numpy().astype(np.int64), pdf.i.to_numpy().astype(np.int64), pdf.fp.to_numpy().view(np.uint64)
-        starts = np.nonzero(np.r_[True, token[1:] != token[:-1]])[0]
-        size = np.diff(np.r_[starts, len(pdf)])
-        start, many = np.repeat(starts, size), np.repeat(size, size)
-        left, right = [], []
-        for d in range(1, min(LARGE, int(size.max()))):
-            k = np.nonzero((many[:-d] <= LARGE) & (token[d:] == token[:-d]))[0]
-            left.append(k)
-            right.append(k + d)
-        k = np.nonzero(many > LARGE)[0]
-        if len(k):
-            after = k[np.isin(k + 1, k) & (start[np.minimum(k + 1, len(pdf) - 1)] == start[k])]
-            mixed = (key.view(np.uint64) ^ token.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            hub = np.repeat(np.array([s + int(np.argmin(mixed[s : s + c])) for s, c in zip(starts, size) if c > LARGE]), size[size > LARGE])
-            left += [after, np.minimum(k, hub)]
-            right += [after + 1, np.maximum(k, hub)]
-        a, b = (np.concatenate(x) if x else np.array([], int) for x in (left, right))
-        good = (a != b) & _may(t, n[a], i[a], n[b], i[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= RADIUS)
-        pairs = np.unique(np.stack([np.minimum(key[a[good]], key[b[good]]), np.maximum(key[a[good]], key[b[good]])], axis=1), axis=0)
-        none = np.zeros(len(pairs), np.int32)
-        out = pd.DataFrame({"kind": none, "u": pairs[:, 0], "v": pairs[:, 1], "n": none, "i": none, "fp": none.astype(np.int64)})
-        return pd.concat([out, pd.DataFrame({"kind": np.ones(len(k), np.int32), "u": token[k], "v": key[k], "n": n[k].astype(np.int32), "i": i[k].astype(np.int32), "fp": fp[k].view(np.int64)})])
-
-    return run
+    return shared.save(rows.mapInArrow(run, "doc_id long, digest long, set_id long, n int, fp array<long>, sketch array<long>"), "shingles")
 
 
 def _apart(t: Fraction):
-    """The pairs of a shingle's sets that no link has joined yet."""
+    """The pairs of a bucket's sets that no link has joined yet."""
     spread = Fraction(1 - t, 1 + t)
 
     def run(pdf):
@@ -146,13 +83,11 @@ def _apart(t: Fraction):
 
         found = [np.zeros((0, 2), np.int64)]
         for _, rows in pdf.groupby("u"):
-            rows = rows.sort_values(["n", "v"])
-            key, of, fp = rows.v.to_numpy(), rows.component.to_numpy(), rows.fp.to_numpy().view(np.uint64)
-            n, i = rows.n.to_numpy().astype(np.int64), rows.i.to_numpy().astype(np.int64)
-            sketch = np.stack(rows.sketch.to_numpy()).view(np.uint64)
+            key, of, n = rows.v.to_numpy(), rows.component.to_numpy(), rows.n.to_numpy().astype(np.int64)
+            fp, sketch = rows[["a", "b"]].to_numpy(np.int64).view(np.uint64), np.stack(rows.sketch.to_numpy()).view(np.uint64)
             for k in range(len(rows) - 1):
-                x = k + 1 + np.nonzero((of[k + 1 :] != of[k]) & _may(t, n[k], i[k], n[k + 1 :], i[k + 1 :]))[0]
-                x = x[np.bitwise_count(fp[x] ^ fp[k]) <= RADIUS]
+                x = k + 1 + np.nonzero((of[k + 1 :] != of[k]) & (np.minimum(n[k + 1 :], n[k]) * t.denominator >= t.numerator * np.maximum(n[k + 1 :], n[k])))[0]
+                x = x[np.bitwise_count(fp[x] ^ fp[k]).sum(axis=1) <= RADIUS]
                 x = x[np.bitwise_count(sketch[x] ^ sketch[k]).sum(axis=1, dtype=np.int64) * spread.denominator <= spread.numerator * (n[x] + n[k])]
                 if len(x):
                     found.append(np.stack([np.minimum(key[x], key[k]), np.maximum(key[x], key[k])], axis=1))
@@ -213,23 +148,22 @@ def groups(docs: DataFrame, similarity: str = "0.8", words: int = 5, id_col: str
     Texts with equal shingles are linked, and so are texts without a word. similarity is a decimal number as a string.
     """
     t = Fraction(similarity)
-    table = _sets(docs, id_col, text_col, t, words, seed)
-    distinct = table.select("set_id", "n", "fp", "prefix").dropDuplicates(["set_id"])
-    rows = distinct.select("set_id", "n", "fp", F.posexplode("prefix").alias("i", "token"))
+    table = _sets(docs, id_col, text_col, words, seed)
+    distinct = shared.save(table.select(F.col("set_id").alias("node"), "n", "fp").dropDuplicates(["node"]), "near-prints")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("digest"), text.alias("_text"))
-    total = table.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda df, c, n: df.withColumn("g", F.pmod(F.xxhash64(c), F.lit(n)).cast("int")).groupBy("g")
-    met = shared.save(dealt(rows, "token", max(least, total // ROWS)).applyInPandas(_meet(t), "kind int, u long, v long, n int, i int, fp long"), "near-met")
+    met = shared.save(simhash.meetings(distinct, BITS, RADIUS, CLOSE, float(t) - 1e-9, LARGE), "near-met")
     links = _similar(met.where("kind = 0").select("u", "v"), table, texts, t, words, seed)
     member = components(links, "near")
     large = met.where("kind = 1")
-    n = large.count()
-    if n:
+    if not large.isEmpty():
+        known = large.join(member, F.col("v") == F.col("node"), "left").select("u", "v", "n", "a", "b", F.coalesce("component", "v").alias("component"))
+        known = shared.save(known, "near-crowds")
+        split = known.groupBy("u").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("u")
         slim = table.select(F.col("set_id").alias("v"), "sketch").dropDuplicates(["v"])
-        rows = large.join(member, F.col("v") == F.col("node"), "left").join(slim, "v").select("u", "v", "n", "i", "fp", "sketch", F.coalesce("component", "v").alias("component"))
-        more = dealt(rows, "u", max(least, n // ROWS)).applyInPandas(_apart(t), "u long, v long")
+        rows = shared.save(known.join(split, "u").join(slim, "v"), "near-crowds")
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS)
+        more = rows.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")).groupBy("g").applyInPandas(_apart(t), "u long, v long")
         member = components(links.union(_similar(more, table, texts, t, words, seed)), "near")
     return table.join(member, F.col("set_id") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("component", "set_id").alias("component_id"))
 
