@@ -182,7 +182,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return placed.groupBy("g").applyInPandas(compare, "u long, v long")
 
 
-def _meet(radius: int, close: int, share: float, large: int):
+def _meet(bits: int, radius: int, close: int, share: float, large: int):
     """Rows (kind, u, v, n, a, b) of meetings for the buckets of a task."""
     import pandas as pd
 
@@ -200,6 +200,11 @@ def _meet(radius: int, close: int, share: float, large: int):
 
         def note(x, y, apart):
             good = np.minimum(n[x], n[y]) >= share * np.maximum(n[x], n[y])
+            # a pair that agrees in an earlier block of the two words is met there
+            block, each = task[x, 0] >> bits, 64 // bits
+            for k in range(2 * each):
+                same = (fp[x, k // each] ^ fp[y, k // each]) >> np.uint64(bits * (k % each)) & np.uint64((1 << bits) - 1) == 0
+                good &= ~(same & (block > k))
             x, y, apart = np.minimum(x, y)[good], np.maximum(x, y)[good], apart[good].astype(np.int64)
             np.minimum.at(nearest, y, (apart << 32) | x)
             np.add.at(partners, y, 1)
@@ -243,7 +248,7 @@ def meetings(fps: DataFrame, bits: int, radius: int, close: int, share: float, l
     blocks = (words[0] if words else 1) * each
     value = f"cast(shiftrightunsigned(fp[cast(x div {each} AS int)], cast({bits} * (x % {each}) AS int)) & {(1 << bits) - 1}L AS int)"
     dealt = fps.select("node", "n", F.col("fp")[0].alias("a"), F.col("fp")[1].alias("b"), F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), x -> x * {1 << bits} + {value})")).alias("bucket"))
-    return place(dealt, ["bucket"], "node", blocks * fps.count()).groupBy("g").applyInPandas(_meet(radius, close, share, large), "kind int, u long, v long, n int, a long, b long")
+    return place(dealt, ["bucket"], "node", blocks * fps.count()).groupBy("g").applyInPandas(_meet(bits, radius, close, share, large), "kind int, u long, v long, n int, a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
