@@ -99,3 +99,17 @@ def test_a_large_group_in_chunks(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
     assert kept == sorted(set(label))
+
+
+def test_crowds_that_share_their_least_node_are_one(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 64, similar.WORDS, dtype=np.uint64)
+    flips = np.packbits(rng.random((80, similar.WORDS, 64)) < 0.1, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    rows = [(k, 100, [int(x) for x in (base ^ flips[k]).view(np.int64)]) for k in range(80)]
+    table = spark.createDataFrame(rows, "node long, n int, fp array<long>")
+    met = simhash.meetings(table, similar.BITS, similar.RADIUS, similar.CLOSE, 0.8, similar.LARGE).where("kind = 1").collect()
+    crowds = {}
+    for r in met:
+        crowds.setdefault(r.u, set()).add(r.v)
+    assert crowds and all(u == min(c) for u, c in crowds.items())
+    assert len(crowds) <= 80  # before: one for each bucket, hundreds

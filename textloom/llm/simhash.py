@@ -228,9 +228,11 @@ def _meet(bits: int, radius: int, close: int, share: float, large: int):
         pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), axis=0)
         none = np.zeros(len(pairs), np.int64)
         out = pd.DataFrame({"kind": none.astype(np.int32), "u": pairs[:, 0], "v": pairs[:, 1], "n": none.astype(np.int32), "a": none, "b": none})
-        u = (task[k, 0] << 40) | (task[k, 1] << 20) | task[k, 2]
+        # a crowd is named by its least node: crowds of other buckets that share it are one; pairs of chunks stay apart
+        first = np.r_[True, of[k][1:] != of[k][:-1]][: len(k)]
+        u = np.where(task[k, 1:].any(axis=1), (task[k, 0] << 40) | (task[k, 1] << 20) | task[k, 2], node[k][first][np.cumsum(first) - 1])
         more = pd.DataFrame({"kind": np.ones(len(k), np.int32), "u": u, "v": node[k], "n": n[k].astype(np.int32), "a": fp[k, 0].view(np.int64), "b": fp[k, 1].view(np.int64)})
-        return pd.concat([out, more])
+        return pd.concat([out, more.drop_duplicates(["u", "v"])])
 
     return run
 
@@ -240,8 +242,9 @@ def meetings(fps: DataFrame, bits: int, radius: int, close: int, share: float, l
 
     fps: one row for each node, columns node long, n int and fp array<long>; pairs whose n are below share of each other are
     left out. Returns (kind, u, v, n, a, b). Kind 0: a pair of nodes u, v; of a node's partners before it in a bucket, the
-    nearest, if it is within close bits. Where that leaves pairs out, kind 1 holds all nodes v of the bucket u that have a partner, with n and the first
-    two words; all other pairs are in kind 0. Buckets of large rows at most are compared together.
+    nearest, if it is within close bits. Where that leaves pairs out, kind 1 holds all nodes v of the bucket that have a partner, with n and the first
+    two words; all other pairs are in kind 0. u is the least of these nodes, so buckets with the same one are one crowd (in pairs of chunks, the
+    bucket and the chunks); rows of other tasks may repeat. Buckets of large rows at most are compared together.
     """
     each = 64 // bits
     words = fps.select(F.size("fp")).first()

@@ -75,7 +75,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) ->
 
 
 def _apart(t: Fraction):
-    """The pairs of a bucket's sets that no link has joined yet."""
+    """The pairs of a crowd's sets that no link has joined yet."""
     spread = Fraction(1 - t, 1 + t)
 
     def run(pdf):
@@ -157,12 +157,12 @@ def groups(docs: DataFrame, similarity: str = "0.8", words: int = 5, id_col: str
     member = components(links, "near")
     large = met.where("kind = 1")
     if not large.isEmpty():
-        known = large.join(member, F.col("v") == F.col("node"), "left").select("u", "v", "n", "a", "b", F.coalesce("component", "v").alias("component"))
-        known = shared.save(known, "near-crowds")
-        split = known.groupBy("u").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("u")
+        # a text's group and sketch are fetched once, not for each of its crowds
         slim = table.select(F.col("set_id").alias("v"), "sketch").dropDuplicates(["v"])
-        rows = shared.save(known.join(split, "u").join(slim, "v"), "near-crowds")
-        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS)
+        of = large.groupBy("v").agg(*[F.first(c).alias(c) for c in ("n", "a", "b")], F.collect_set("u").alias("crowds"))
+        known = of.join(member, F.col("v") == F.col("node"), "left").join(slim, "v")
+        rows = known.select(F.explode("crowds").alias("u"), "v", "n", "a", "b", F.coalesce("component", "v").alias("component"), "sketch")
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), large.count() // ROWS)
         more = rows.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")).groupBy("g").applyInPandas(_apart(t), "u long, v long")
         member = components(links.union(_similar(more, table, texts, t, words, seed)), "near")
     return table.join(member, F.col("set_id") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("component", "set_id").alias("component_id"))
