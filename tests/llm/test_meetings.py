@@ -101,15 +101,15 @@ def test_a_large_group_in_chunks(spark, monkeypatch):
     assert kept == sorted(set(label))
 
 
-def test_crowds_that_share_their_least_node_are_one(spark):
+def test_dense_texts_leave_few_rows(spark):
     rng = np.random.default_rng(11)
     base = rng.integers(0, 1 << 64, similar.WORDS, dtype=np.uint64)
     flips = np.packbits(rng.random((80, similar.WORDS, 64)) < 0.1, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
-    rows = [(k, 100, [int(x) for x in (base ^ flips[k]).view(np.int64)]) for k in range(80)]
-    table = spark.createDataFrame(rows, "node long, n int, fp array<long>")
-    met = simhash.meetings(table, similar.BITS, similar.RADIUS, similar.CLOSE, 0.8, similar.LARGE).where("kind = 1").collect()
-    crowds = {}
-    for r in met:
-        crowds.setdefault(r.u, set()).add(r.v)
-    assert crowds and all(u == min(c) for u, c in crowds.items())
-    assert len(crowds) <= 80  # before: one for each bucket, hundreds
+    sketches = rng.integers(-(1 << 62), 1 << 62, (80, 16))  # none allows a link, but for one pair
+    sketches[7] = sketches[5]
+    rows = [(k, 100, [int(x) for x in (base ^ flips[k]).view(np.int64)], True, k, sketches[k].tolist()) for k in range(80)]
+    table = spark.createDataFrame(rows, "node long, n int, fp array<long>, dense boolean, component long, sketch array<long>")
+    asked = (similar.BITS, similar.RADIUS, similar.CLOSE, 0.8, similar.LARGE)
+    assert {(r.kind, r.u, r.v) for r in simhash.meetings(table, *asked).collect()} == {(0, 5, 7)}
+    marks = simhash.meetings(table.select("node", "n", "fp"), *asked, 0, 10, 4).where("kind = 2").collect()
+    assert {r.v for r in marks}

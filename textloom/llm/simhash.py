@@ -182,14 +182,14 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return placed.groupBy("g").applyInPandas(compare, "u long, v long")
 
 
-def _meet(bits: int, radius: int, close: int, share: float, large: int):
+def _meet(bits: int, radius: int, close: int, share: float, large: int, most: int):
     """Rows (kind, u, v, n, a, b) of meetings for the buckets of a task."""
     import pandas as pd
 
     def run(pdf):
         pdf = pdf.sort_values(["bucket", "i", "j", "node"], kind="stable")
         task, own = pdf[["bucket", "i", "j"]].to_numpy(np.int64), pdf.c.to_numpy()
-        node, n = pdf.node.to_numpy(), pdf.n.to_numpy().astype(np.int64)
+        node, n, dense = pdf.node.to_numpy(), pdf.n.to_numpy().astype(np.int64), pdf.dense.to_numpy(bool)
         fp = pdf[["a", "b"]].to_numpy(np.int64).view(np.uint64)
         start = np.nonzero(np.r_[True, (task[1:] != task[:-1]).any(axis=1)])[0]
         size = np.diff(np.r_[start, len(pdf)])
@@ -197,17 +197,29 @@ def _meet(bits: int, radius: int, close: int, share: float, large: int):
         count = np.bitwise_count(fp).sum(axis=1, dtype=np.int16)
         # of its partners before it in the bucket: the nearest (bits apart, then place), and how many there are
         nearest, partners, near = np.full(len(pdf), 1 << 40), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
+        degree, joined, known = np.zeros(len(pdf), np.int64), pdf.component.to_numpy(), []
+        sketch = np.zeros((len(pdf), len(pdf.sketch[dense].iloc[0]) if dense.any() else 0), np.uint64)
+        if dense.any():
+            sketch[dense] = np.stack(pdf.sketch[dense].to_numpy()).view(np.uint64)
 
         def note(x, y, apart):
-            good = np.minimum(n[x], n[y]) >= share * np.maximum(n[x], n[y])
+            good = (np.minimum(n[x], n[y]) >= share * np.maximum(n[x], n[y])) & (joined[x] != joined[y])
             # a pair that agrees in an earlier block of the two words is met there
             block, each = task[x, 0] >> bits, 64 // bits
             for k in range(2 * each):
                 same = (fp[x, k // each] ^ fp[y, k // each]) >> np.uint64(bits * (k % each)) & np.uint64((1 << bits) - 1) == 0
                 good &= ~(same & (block > k))
+            both = good & dense[x] & dense[y]
+            if both.any():
+                i, j = x[both], y[both]
+                close = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= (1 - share) / (1 + share) * (n[i] + n[j])
+                i, j = node[i[close]], node[j[close]]
+                known.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
+            good &= ~both
             x, y, apart = np.minimum(x, y)[good], np.maximum(x, y)[good], apart[good].astype(np.int64)
             np.minimum.at(nearest, y, (apart << 32) | x)
             np.add.at(partners, y, 1)
+            np.add.at(degree, np.concatenate([x, y]), 1)
             near[x] = near[y] = True
 
         # small buckets all at once
@@ -225,33 +237,42 @@ def _meet(bits: int, radius: int, close: int, share: float, large: int):
                 note(x[u], y[v], apart[u, v])
         y = np.nonzero(nearest < (close + 1 << 32))[0]
         x, k = nearest[y] & 0xFFFFFFFF, np.nonzero(near & np.isin(of, of[partners > (nearest < (close + 1 << 32))]))[0]
-        pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), axis=0)
+        pairs = np.unique(np.concatenate([np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), *known]), axis=0)
         none = np.zeros(len(pairs), np.int64)
         out = pd.DataFrame({"kind": none.astype(np.int32), "u": pairs[:, 0], "v": pairs[:, 1], "n": none.astype(np.int32), "a": none, "b": none})
-        # a crowd is named by its least node: crowds of other buckets that share it are one; pairs of chunks stay apart
-        first = np.r_[True, of[k][1:] != of[k][:-1]][: len(k)]
-        u = np.where(task[k, 1:].any(axis=1), (task[k, 0] << 40) | (task[k, 1] << 20) | task[k, 2], node[k][first][np.cumsum(first) - 1])
+        u = (task[k, 0] << 40) | (task[k, 1] << 20) | task[k, 2]
         more = pd.DataFrame({"kind": np.ones(len(k), np.int32), "u": u, "v": node[k], "n": n[k].astype(np.int32), "a": fp[k, 0].view(np.int64), "b": fp[k, 1].view(np.int64)})
-        return pd.concat([out, more.drop_duplicates(["u", "v"])])
+        many = np.unique(node[degree > most]) if most else node[:0]
+        return pd.concat([out, more, pd.DataFrame({"kind": np.int32(2), "u": many, "v": many, "n": np.int32(0), "a": np.int64(0), "b": np.int64(0)})])
 
     return run
 
 
-def meetings(fps: DataFrame, bits: int, radius: int, close: int, share: float, large: int) -> DataFrame:
+def deal(fps: DataFrame, bits: int, first: int = 0, last: int | None = None) -> tuple[DataFrame, int]:
+    """fps (columns node, fp and others) by each of its fingerprint's blocks of so many bits from first to before last: a and b, the first two words, and bucket in place of fp; and the number of rows."""
+    each = 64 // bits
+    words = fps.select(F.size("fp")).first()
+    last = last or (words[0] if words else 2) * each
+    value = f"cast(shiftrightunsigned(fp[cast(x div {each} AS int)], cast({bits} * (x % {each}) AS int)) & {(1 << bits) - 1}L AS int)"
+    bucket = F.explode(F.expr(f"transform(sequence({first}, {last - 1}), x -> x * {1 << bits} + {value})")).alias("bucket")
+    return fps.select(*[c for c in fps.columns if c != "fp"], F.col("fp")[0].alias("a"), F.col("fp")[1].alias("b"), bucket), (last - first) * fps.count()
+
+
+def meetings(fps: DataFrame, bits: int, radius: int, close: int, share: float, large: int, first: int = 0, last: int | None = None, most: int = 0) -> DataFrame:
     """Pairs of wide fingerprints that agree in one of the blocks of so many bits and differ in radius of their first 128 bits at most.
 
     fps: one row for each node, columns node long, n int and fp array<long>; pairs whose n are below share of each other are
-    left out. Returns (kind, u, v, n, a, b). Kind 0: a pair of nodes u, v; of a node's partners before it in a bucket, the
-    nearest, if it is within close bits. Where that leaves pairs out, kind 1 holds all nodes v of the bucket that have a partner, with n and the first
-    two words; all other pairs are in kind 0. u is the least of these nodes, so buckets with the same one are one crowd (in pairs of chunks, the
-    bucket and the chunks); rows of other tasks may repeat. Buckets of large rows at most are compared together.
+    left out, and so are pairs of one component, if there is such a column. Of pairs of two nodes that a column dense marks, those whose column sketch
+    allows that share are all listed, as kind 0. Returns (kind, u, v, n, a, b). Kind 0: a pair of nodes u, v; of a node's partners
+    before it in a bucket, the nearest, if it is within close bits. Where that leaves pairs out, kind 1 holds all nodes v of the bucket u that have a
+    partner, with n and the first two words; all other pairs are in kind 0. Kind 2, where most is given: nodes v of more than most partners in a
+    bucket. Buckets of large rows at most are compared together.
+    Blocks before first and from last on can be left to another call, but a pair that agrees in one of the first two words is met there alone.
     """
-    each = 64 // bits
-    words = fps.select(F.size("fp")).first()
-    blocks = (words[0] if words else 1) * each
-    value = f"cast(shiftrightunsigned(fp[cast(x div {each} AS int)], cast({bits} * (x % {each}) AS int)) & {(1 << bits) - 1}L AS int)"
-    dealt = fps.select("node", "n", F.col("fp")[0].alias("a"), F.col("fp")[1].alias("b"), F.explode(F.expr(f"transform(sequence(0, {blocks - 1}), x -> x * {1 << bits} + {value})")).alias("bucket"))
-    return place(dealt, ["bucket"], "node", blocks * fps.count()).groupBy("g").applyInPandas(_meet(bits, radius, close, share, large), "kind int, u long, v long, n int, a long, b long")
+    if "dense" not in fps.columns:
+        fps = fps.select("node", "n", "fp", F.lit(False).alias("dense"), F.col("node").alias("component"), F.lit(None).cast("array<long>").alias("sketch"))
+    dealt, rows = deal(fps, bits, first, last)
+    return place(dealt, ["bucket"], "node", rows).groupBy("g").applyInPandas(_meet(bits, radius, close, share, large, most), "kind int, u long, v long, n int, a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:

@@ -9,7 +9,9 @@ of 1,000,000 (20,000). What then follows loses no pair at the threshold: bounds
 distance of parity sketches, and at last all shingles, so that no pair below the threshold is linked.
 
 A bucket first links each text to the nearest before it, within CLOSE bits; its other pairs are compared only where these links have not
-joined them already, so a group of n near copies costs far fewer than its pairs.
+joined them already, so a group of n near copies costs far fewer than its pairs. The blocks of the first two words are dealt first. Texts that
+meet more than DENSE others in one bucket there (large groups of near copies, or texts around a common passage) are dense: they take their
+sketches to the other blocks' buckets, which list pairs of two dense ones only where no link has joined them and the sketches allow one.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ WORDS, BITS = 20, 12
 RADIUS = 42
 #: Pairs of so many bits at most are compared at once, others where those have not joined them.
 CLOSE = 24
+#: Texts that meet more than so many others in a bucket are dense.
+DENSE = 8
 #: Bits of a parity sketch.
 SKETCH = 1024
 #: Bits of the table that marks which texts may be compared; more texts than bits cost a second look, not a pair.
@@ -152,19 +156,32 @@ def groups(docs: DataFrame, similarity: str = "0.8", words: int = 5, id_col: str
     distinct = shared.save(table.select(F.col("set_id").alias("node"), "n", "fp").dropDuplicates(["node"]), "near-prints")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("digest"), text.alias("_text"))
-    met = shared.save(simhash.meetings(distinct, BITS, RADIUS, CLOSE, float(t) - 1e-9, LARGE), "near-met")
-    links = _similar(met.where("kind = 0").select("u", "v"), table, texts, t, words, seed)
-    member = components(links, "near")
-    large = met.where("kind = 1")
-    if not large.isEmpty():
+    asked, early = (BITS, RADIUS, CLOSE, float(t) - 1e-9, LARGE), 2 * (64 // BITS)
+    slim = table.select(F.col("set_id").alias("node"), "sketch").dropDuplicates(["node"])
+
+    def joined(met, links):
+        """The links with those of met, and (node, component)."""
+        found = _similar(met.where("kind = 0").select("u", "v"), table, texts, t, words, seed)
+        links = links.union(found) if links else found
+        member, large = components(links, "near"), met.where("kind = 1")
+        if large.isEmpty():
+            return links, member
         # a text's group and sketch are fetched once, not for each of its crowds
-        slim = table.select(F.col("set_id").alias("v"), "sketch").dropDuplicates(["v"])
         of = large.groupBy("v").agg(*[F.first(c).alias(c) for c in ("n", "a", "b")], F.collect_set("u").alias("crowds"))
-        known = of.join(member, F.col("v") == F.col("node"), "left").join(slim, "v")
-        rows = known.select(F.explode("crowds").alias("u"), "v", "n", "a", "b", F.coalesce("component", "v").alias("component"), "sketch")
+        known = of.withColumnRenamed("v", "node").join(member, "node", "left").join(slim, "node")
+        rows = known.select(F.explode("crowds").alias("u"), F.col("node").alias("v"), "n", "a", "b", F.coalesce("component", "node").alias("component"), "sketch")
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), large.count() // ROWS)
         more = rows.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int")).groupBy("g").applyInPandas(_apart(t), "u long, v long")
-        member = components(links.union(_similar(more, table, texts, t, words, seed)), "near")
+        links = links.union(_similar(more, table, texts, t, words, seed))
+        return links, components(links, "near")
+
+    near = shared.save(simhash.meetings(distinct, *asked, 0, early, DENSE), "near-met")
+    links, member = joined(near, None)
+    dense = near.where("kind = 2").select(F.col("v").alias("node")).distinct().join(slim, "node")
+    marked = distinct.join(dense, "node", "left").join(member, "node", "left")
+    marked = shared.save(marked.select("node", "n", "fp", F.col("sketch").isNotNull().alias("dense"), F.coalesce("component", "node").alias("component"), "sketch"), "near-prints")
+    shared.drop(distinct)
+    links, member = joined(shared.save(simhash.meetings(marked, *asked, early), "near-met"), links)
     return table.join(member, F.col("set_id") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("component", "set_id").alias("component_id"))
 
 
