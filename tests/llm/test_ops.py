@@ -339,6 +339,30 @@ def test_omh_follows_order_and_occurrence(spark):
     assert like(2, 3) < 0.5  # nor are ten times as many
 
 
+def test_omh_pairs_as_single_texts(spark):
+    a = " ".join(f"w{i}" for i in range(40))
+    pairs = [(a, a), (a, a[:90] + " other end"), (a, "nothing alike"), ("x " * 30, "x " * 20 + "y x x"), ("", a), (a, ""), ("", ""), ("  ", None), ("one", "one two"), ("a b a b", "b a b a")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "n int, text string, other string")
+    both = {(r.n, r.side): r.e for r in omh.fingerprints_of_pairs(rows, ["n"], "text", "other").collect()}
+    assert both == {(r.n, side): r.e for side, c in enumerate(("text", "other")) for r in omh.fingerprints(rows, ["n"], c).collect()}
+
+
+def test_omh_selects_shared_kmers_once(spark):
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(90))) for i in range(200)]
+    found = omh.fingerprint_edits(spark.createDataFrame(texts, "doc_id long, text string").repartition(2))
+    assert found.count() == len(found.collect()) == 200
+
+    def generated(plan):
+        plan = plan.plan() if plan.getClass().getSimpleName() == "ResultQueryStageExec" else plan
+        own = [plan.metrics().apply("numOutputRows").value()] if plan.getClass().getSimpleName() == "GenerateExec" else []
+        return sum((generated(plan.children().apply(i)) for i in range(plan.children().size())), own)
+
+    ghosts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # one a bucket at most
+    most = max(generated(found._jdf.queryExecution().executedPlan().executedPlan()))
+    # a third of the edited text is new, with the k-mers across the edge; all of both texts would be 400 * 89
+    assert 200 * 89 < most <= 200 * (89 + 36) + ghosts * 91
+
+
 def test_mixing(spark, docs, none):
     labels = spark.createDataFrame([(1, "high"), (2, "high"), (7, "low"), (8, "low"), (None, "high"), (5, "odd")], "doc_id long, domain string")
     plan = mixing.mixed(docs, labels, {"high": 0.5, "low": 0.5})

@@ -6,7 +6,7 @@ the permutation's number), puts them back into text order and hashes them as a t
 
 Occurrence numbers come from the sorted k-mers: equal ones stand beside each other in text order, and how many stand before
 one is found by steps of halving size. Selection is a grouped minimum over the exploded k-mers; it follows the rows'
-partitioning by bucket, so k-mers are never shuffled.
+partitioning by bucket, so k-mers are never shuffled. What a text and its edited text share is selected from once.
 """
 
 from __future__ import annotations
@@ -74,11 +74,34 @@ def entries() -> Column:
     return F.when(F.col("m0").isNotNull(), F.array(*[entry(j) for j in range(0, ENTRIES * TUPLE, TUPLE)]))
 
 
+def minima(rows: DataFrame, keys: list[str], kmers: str) -> DataFrame:
+    """(keys, m0, m1, ...): what each row's array of k-mers selects; the keys tell rows apart, and partitioning by some of them is kept."""
+    (p,) = shared.free(rows, "kmer")
+    return rows.select(*keys, F.explode_outer(kmers).alias(p)).groupBy(*keys).agg(*selections(F.col(p)))
+
+
 def fingerprints(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """(keys, e): entries of each row's text; the keys tell rows apart, and partitioning by some of them is kept."""
-    p, g = shared.free(rows, "kmer", "kmers")
-    found = rows.withColumn(g, numbered(F.col(text_col))).select(*keys, F.explode_outer(g).alias(p))
-    return found.groupBy(*keys).agg(*selections(F.col(p))).select(*keys, entries().alias("e"))
+    """(keys, e): entries of each row's text; keys as for minima."""
+    (g,) = shared.free(rows, "kmers")
+    return minima(rows.withColumn(g, numbered(F.col(text_col))), keys, g).select(*keys, entries().alias("e"))
+
+
+def fingerprints_of_pairs(rows: DataFrame, keys: list[str], text_col: str, other_col: str) -> DataFrame:
+    """(keys, side, e): entries of two texts of each row, sides 0 and 1; keys as for minima.
+
+    K-mers of equal hash, occurrence number and position in both texts are selected from once: a minimum over a text is the
+    lesser of those over its shared and its own k-mers. A null text has no k-mer.
+    """
+    a, b, kmers, part, side = shared.free(rows, "a", "b", "kmers", "part", "side")
+    kmers_of = lambda c: F.coalesce(numbered(F.col(c)), F.array().cast("array<bigint>"))
+    both = rows.select(*keys, kmers_of(text_col).alias(a), kmers_of(other_col).alias(b))
+    # no k-mer is lost as a repeated value, since it has its position
+    dealt = both.select(*keys, F.posexplode(F.array(F.array_intersect(a, b), F.array_except(a, b), F.array_except(b, a))).alias(part, kmers))
+    found = minima(dealt, [*keys, part], kmers)
+    sides = F.when(F.col(part) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col(part) - 1))
+    names = [c for c in found.columns if c not in (*keys, part)]
+    found = found.select(*keys, F.explode(sides).alias(side), *names).groupBy(*keys, side).agg(*[F.min(c).alias(c) for c in names])
+    return found.select(*keys, F.col(side).alias("side"), entries().alias("e"))
 
 
 def text_form(e: Column) -> Column:
@@ -132,14 +155,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = with_next(docs, buckets, id_col, text_col)
-    changed = edited(F.col("text"), F.col("next_text"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("of"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(1).alias("side"), changed.alias("of"), F.sha2(changed, 256).alias("sha")))
     # a ghost stands for its own text alone
-    rows = rows.select("bucket", "at", "ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), F.inline(F.slice(sides, 1, F.lit(2) - F.col("ghost"))))
-    found = fingerprints(rows, ["bucket", "at", "ghost", "doc_id", "n_chars", "side", "sha"], "of")
+    rows = rows.withColumn("changed", F.when(F.col("ghost") == 0, edited(F.col("text"), F.col("next_text"))))
+    rows = rows.select("bucket", "at", "ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"), "text", "changed")
+    found = fingerprints_of_pairs(rows, ["bucket", "at", "ghost", "doc_id", "n_chars", "edited_sha256"], "text", "changed")
     w = Window.partitionBy("bucket").orderBy("at", "side")
-    after = lambda c, n: F.lead(c, n).over(w).alias(f"{c}{n}")
+    after = lambda n: F.lead("e", n).over(w).alias(f"e{n}")
     # a row's own side is followed by its edited one, and that by the next row's own
-    found = found.select("doc_id", "n_chars", "ghost", "side", "e", after("sha", 1), after("e", 1), after("e", 2)).where("ghost = 0 AND side = 0")
+    found = found.select("doc_id", "n_chars", "edited_sha256", "ghost", "side", "e", after(1), after(2)).where("ghost = 0 AND side = 0")
     near = lambda c: likeness(F.col("e"), F.col(c))
-    return found.select("doc_id", "n_chars", F.col("sha1").alias("edited_sha256"), text_form(F.col("e")).alias("fingerprint"), text_form(F.col("e1")).alias("edited_fingerprint"), near("e1").alias("near_edited"), near("e2").alias("near_next"))
+    return found.select("doc_id", "n_chars", "edited_sha256", text_form(F.col("e")).alias("fingerprint"), text_form(F.col("e1")).alias("edited_fingerprint"), near("e1").alias("near_edited"), near("e2").alias("near_next"))
