@@ -1,10 +1,12 @@
 """The near-dedup stage gets its pairs from SimHash fingerprints: blocks, tiles and bit counts against brute force, and recall at the threshold."""
 
 import random
+import tracemalloc
 from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 import pytest
 from textloom.llm import similar, simhash
 
@@ -113,3 +115,22 @@ def test_dense_texts_leave_few_rows(spark):
     assert {(r.kind, r.u, r.v) for r in simhash.meetings(table, *asked).collect()} == {(0, 5, 7)}
     marks = simhash.meetings(table.select("node", "n", "fp"), *asked, 0, 10, 4).where("kind = 2").collect()
     assert {r.v for r in marks}
+
+
+def test_a_crowd_is_compared_in_bounded_memory(monkeypatch):
+    k, rng = 2048, np.random.default_rng(11)
+    flips = np.packbits(rng.random((k, 2, 64)) < 0.13, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    fp = (rng.integers(0, 1 << 64, 2, dtype=np.uint64) ^ flips).view(np.int64)
+    sketches = rng.integers(-(1 << 62), 1 << 62, (k, 16))
+    sketches[1::64] = sketches[1]  # texts that may be similar
+    rows = pd.DataFrame({"bucket": 40 << similar.BITS, "i": 0, "j": 0, "c": 0, "node": np.arange(k), "n": 100, "a": fp[:, 0], "b": fp[:, 1], "dense": np.arange(k) % 64 < 60, "component": np.arange(k)})
+    rows["sketch"] = [s if d else None for s, d in zip(sketches, rows.dense)]
+    meet = simhash._meet(similar.BITS, similar.RADIUS, similar.CLOSE, 0.8, similar.LARGE, similar.DENSE)
+    tracemalloc.start()
+    found = meet(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and set(found.kind) == {0, 1, 2}
+    for pairs in (1 << 30, 999):
+        monkeypatch.setattr(simhash, "PAIRS", pairs, raising=False)
+        assert meet(rows).equals(found)

@@ -24,6 +24,7 @@ from textloom.llm.components import components, forest
 TILE = 1024
 CHUNK = 8192
 BLOCK = 255 * 256  # shingles whose bits are counted at once
+PAIRS = 1 << 15  # pairs of a tile that are looked at together: each may take two sketches and their exclusive or
 
 
 def shingles(found: list[bytes], words: int, seed: int) -> np.ndarray:
@@ -233,8 +234,10 @@ def _meet(bits: int, radius: int, close: int, share: float, large: int, most: in
             for x, y, one in tiles(count, *parts, radius):
                 apart = np.bitwise_count(fp[x, 0][:, None] ^ fp[y, 0][None, :])
                 apart += np.bitwise_count(fp[x, 1][:, None] ^ fp[y, 1][None, :])
-                u, v = np.nonzero(np.triu(apart <= radius, 1) if one else apart <= radius)
-                note(x[u], y[v], apart[u, v])
+                found = np.flatnonzero(np.triu(apart <= radius, 1) if one else apart <= radius)
+                for at in range(0, len(found), PAIRS):
+                    u, v = np.divmod(found[at : at + PAIRS], len(y))
+                    note(x[u], y[v], apart[u, v])
         y = np.nonzero(nearest < (close + 1 << 32))[0]
         x, k = nearest[y] & 0xFFFFFFFF, np.nonzero(near & np.isin(of, of[partners > (nearest < (close + 1 << 32))]))[0]
         pairs = np.unique(np.concatenate([np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1), *known]), axis=0)
