@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from textloom.functions import text as T
 from textloom.functions.packs import Pack
 from textloom.operators import ordered
 
+#: What packed() gives.
+CHUNK = pa.schema([("source", pa.string()), ("section", pa.string()), ("chunk", pa.int32()), ("text", pa.string()), ("pages", pa.list_(pa.int32())), ("token_estimate", pa.int32())])
+
 
 def paged(documents: DataFrame) -> DataFrame:
     """Documents as pages of their source: page is the rank by id, as there is no order but an explicit one."""
@@ -58,56 +63,75 @@ def pack_chunks(pages: DataFrame, target: int | None = None, most: int = 1200, o
     (source, section, chunk, text, pages, token_estimate). Sizes before a paragraph are those of the normalised chunk; at the
     end of a page the raw one counts. Normalisation sees a chunk as one line unless its paragraphs hold line ends, so a
     noise match empties the chunk, and an emptied chunk is dropped, as in the surveyed rules. A chunk above most tokens
-    carries its last words over, and the last page with them. Groups are sources and sections of documents, which one task
-    can hold; pages with is_kept false are left out.
+    carries its last words over, and the last page with them. Pages of a source and section come to a task in order and are
+    read batch by batch, so that a task holds a chunk and a batch, not the group; pages with is_kept false are left out.
     """
     limit = most if target is None else target
-
-    def run(pdf):
-        import pandas as pd
-
-        rows, held, pages_held, n_words, noise = [], [], [], 0, False
-
-        def flush():
-            nonlocal held, pages_held, n_words, noise
-            text = "" if noise else plain.normalize_lm(" ".join(held), pack)
-            n = plain.tokens_of(plain.words(text))
-            if text:
-                rows.append((pdf.source.iloc[0], pdf.section.iloc[0], len(rows), text, sorted(set(pages_held)), n))
-            tail = " ".join(text.split()[-overlap:]) if text and overlap > 0 and n > most else ""
-            held, pages_held = ([tail], pages_held[-1:]) if tail else ([], [])
-            n_words, noise = plain.words(tail), False
-
-        def passes(block):
-            """Whether the chunk with the block is over the limit; noise is set where it is empty whatever follows on its line."""
-            nonlocal noise
-            noise = noise and plain.one_line(block)
-            if not held or noise or plain.tokens_of(n_words + plain.words(block)) <= limit:
-                return False  # normalisation never adds words
-            whole = " ".join([*held, block])
-            text = plain.normalize_lm(whole, pack)
-            noise = not text and plain.stays_noise(whole)
-            return plain.tokens_of(plain.words(text)) > limit
-
-        for page, text in pdf.sort_values("page", kind="stable")[["page", "text"]].itertuples(index=False):
+    if "is_kept" in pages.columns:
+        pages = pages.where(F.coalesce("is_kept", F.lit(True)))
+    # sources are few: many partitions keep two of them from meeting in one
+    n = max(100, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = pages.select("source", "section", "page", "text").repartition(n, "source", "section").sortWithinPartitions("source", "section", F.asc_nulls_last("page"))
+    return rows.mapInArrow(lambda batches: packed(batches, limit, most, overlap, pack), "source string, section string, chunk int, text string, pages array<int>, token_estimate int")
+
+
+def packed(batches: Iterable[pa.RecordBatch], limit: int, most: int, overlap: int, pack: Pack, at_once: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The chunks of (source, section, page, text), in their order."""
+    rows, key, chunk = [], None, 0
+    held, pages_held, n_words, noise = [], [], 0, False
+
+    def flush():
+        nonlocal held, pages_held, n_words, noise, chunk
+        text = "" if noise else plain.normalize_lm(" ".join(held), pack)
+        n = plain.tokens_of(plain.words(text))
+        if text:
+            rows.append((*key, chunk, text, sorted(set(pages_held)), n))
+            chunk += 1
+        tail = " ".join(text.split()[-overlap:]) if text and overlap > 0 and n > most else ""
+        held, pages_held = ([tail], pages_held[-1:]) if tail else ([], [])
+        n_words, noise = plain.words(tail), False
+
+    def passes(block, size):
+        """Whether the chunk with the block is over the limit; noise is set where it is empty whatever follows on its line."""
+        nonlocal noise
+        noise = noise and plain.one_line(block)
+        if not held or noise or plain.tokens_of(n_words + size) <= limit:
+            return False  # normalisation never adds words
+        whole = " ".join([*held, block])
+        text = plain.normalize_lm(whole, pack)
+        noise = not text and plain.stays_noise(whole)
+        return plain.tokens_of(plain.words(text)) > limit
+
+    def sent():
+        done, rows[:] = rows[:], []
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), CHUNK.types)], schema=CHUNK)
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            *of, page, text = (c[i].as_py() for c in batch.columns)
+            if key != tuple(of):
+                if key is not None:
+                    flush()
+                key, chunk, held, pages_held, n_words, noise = tuple(of), 0, [], [], 0, False
             text = (text or "").strip()
             if not text:
                 continue
             for block in plain.paragraphs(text, pack=pack):
-                if passes(block):
+                size = plain.words(block)
+                if passes(block, size):
                     flush()
                 held.append(block)
-                n_words += plain.words(block)
+                n_words += size
                 if page:
                     pages_held.append(int(page))
             if plain.tokens_of(n_words) >= limit:
                 flush()
+            if len(rows) >= at_once:
+                yield sent()
+    if key is not None:
         flush()
-        return pd.DataFrame(rows, columns=["source", "section", "chunk", "text", "pages", "token_estimate"])
-
-    if "is_kept" in pages.columns:
-        pages = pages.where(F.coalesce("is_kept", F.lit(True)))
-    return pages.select("source", "section", "page", "text").groupBy("source", "section").applyInPandas(run, "source string, section string, chunk int, text string, pages array<int>, token_estimate int")
+    if rows:
+        yield sent()
 
 
 def hold_out(counts: dict[str, int], target: int, least_docs: int = 3) -> list[str]:
