@@ -116,10 +116,11 @@ def collapse(c: Column) -> Column:
 
 def is_noise_line(line: Column, p: Patterns = Patterns(), drop: tuple[str, ...] = (), terms: tuple[str, ...] = ()) -> Column:
     """Addresses, phone numbers, administrative lines, numbered references, and lists of names without a term of the domain."""
-    bad = line.rlike(p.broken_url) | line.rlike(p.url) | line.rlike(p.email) | line.rlike(p.doi) | line.rlike(p.phone) | line.rlike(p.admin)
+    bad = line.rlike(p.broken_url) | line.rlike(p.url) | (line.contains("@") & line.rlike(p.email) if p.email == Patterns.email else line.rlike(p.email)) | line.rlike(p.doi) | line.rlike(p.phone) | line.rlike(p.admin)
     bad = bad | (line.rlike(p.numbered) & line.rlike(p.reference))
     bad = bad | (line.rlike(p.person) & (F.size(tokens(line)) > 5) & (contains_count(normalize(line), terms) == 0))
-    return bad | normalize(line).isin(list(drop)) if drop else bad
+    # a line with more plain letters and digits than the longest heading is none; few characters tell
+    return bad | (~line.rlike(r"^(?:[^A-Za-z0-9]*+[A-Za-z0-9]){%d}" % (max(map(len, drop)) + 1)) & normalize(line).isin(list(drop))) if drop else bad
 
 
 def clean_extracted(c: Column, p: Patterns = Patterns(), drop: tuple[str, ...] = (), terms: tuple[str, ...] = ()) -> Column:
@@ -127,8 +128,12 @@ def clean_extracted(c: Column, p: Patterns = Patterns(), drop: tuple[str, ...] =
     c = F.regexp_replace(c, "\r\n|\r| | ", "\n")
     c = F.regexp_replace(c, "[﻿​]", "")
     c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
-    for pattern in (p.broken_url, p.url, p.doi, p.email):
+    for pattern in (p.broken_url, p.url, p.doi):
         c = F.regexp_replace(c, pattern, " ")
+    if p.email == Patterns.email:  # a text without the sign is spared the pass; an array of one, so that the text so far is made once
+        c = F.element_at(F.transform(F.array(c), lambda x: F.when(x.contains("@"), F.regexp_replace(x, p.email, " ")).otherwise(x)), 1)
+    else:
+        c = F.regexp_replace(c, p.email, " ")
     c = F.regexp_replace(c, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", "$1$2")
     c = F.regexp_replace(c, r"(?m)^[ \t]*[•●▪◦][ \t]*", "- ")
     c = F.regexp_replace(c, r"[ \t]+", " ")

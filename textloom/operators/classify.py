@@ -9,6 +9,10 @@ from textloom.functions import text as T
 from textloom.functions.packs import Pack
 
 
+#: The last page that can be a cover or credits.
+EARLY = 2
+
+
 def score(norm: Column, words: Column, reference_ratio: Column, pack: Pack) -> Column:
     """One for a word, two for a phrase, one for an action; two each from 120 and 350 words on, three off for references."""
     hits = sum(((2 if " " in t else 1) * norm.contains(t).cast("int") for t in pack.terms), F.lit(0)) + T.contains_count(norm, pack.actions)
@@ -30,10 +34,15 @@ def page_metrics(df: DataFrame, pack: Pack, text: str = "text", clean: bool = Fa
     return df.withColumns({"chars": F.length(c), "token_estimate": T.estimate_tokens(c), "clinical_score": score(F.col("norm"), F.col("words"), F.col("reference_ratio"), pack), "suspicious": T.suspicious_ratio(c), "markers": T.reference_marker_count(c), "numeric_ratio": T.numeric_token_ratio(c), "decimals": T.decimal_count(c)})
 
 
+def credited(pack: Pack) -> Column:
+    """Whether a page with page_metrics is a cover or credits if it is an early one, and neither too short nor corrupt."""
+    return (T.contains_count(F.col("norm_head"), pack.credits) > 0) & (F.col("clinical_score") < 3)
+
+
 def drop_reason(pack: Pack, page: str = "page") -> Column:
     """Why a page with page_metrics is dropped; empty if it is kept. The first rule that holds decides."""
     c, s, lines = F.col, F.col("clinical_score"), F.col("page_lines")
-    credits = (c(page) <= 2) & (T.contains_count(c("norm_head"), pack.credits) > 0) & (s < 3)
+    credits = (c(page) <= EARLY) & credited(pack)
     headings = F.exists(F.slice(lines, 1, 15), lambda x: T.normalize(x).isin(list(pack.drop_headings)))
     leaders = F.size(F.filter(lines, lambda x: x.rlike(r"\.{3,}\s*\d+$")))
     index = (T.contains_count(F.substring("norm_head", 1, 800), pack.index_terms) > 0) & ((leaders >= 3) | (s < 4))

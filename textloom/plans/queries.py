@@ -221,9 +221,12 @@ FLAGS = f"""WITH m AS (SELECT {METRICS}, {STRIPPED} AS stripped, {found("text",
 
 @query("page_drop_reasons", DROPS)
 def page_drop_reasons(spark, sf_dir):
-    """Pages by drop reason."""
-    pages = classify.page_metrics(corpus.paged(documents(spark, sf_dir)), SAMPLE, clean=True)
-    return pages.groupBy(classify.drop_reason(SAMPLE).alias("drop_reason")).agg(F.count("*").alias("pages"))
+    """Pages by drop reason. A text's reason as a later page, and whether an early one would be a cover, need no number, so texts go to tasks evenly, by id, and not by source."""
+    texts = documents(spark, sf_dir).select("doc_id", "source", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    rows = classify.page_metrics(texts, SAMPLE, clean=True).withColumn("_late", F.lit(classify.EARLY + 1))
+    rows = corpus.paged(rows.select("doc_id", "source", classify.drop_reason(SAMPLE, "_late").alias("late"), classify.credited(SAMPLE).alias("credits")))
+    cover = (F.col("page") <= classify.EARLY) & F.col("credits") & ~F.col("late").isin("too_short", "corrupt_extraction")
+    return rows.groupBy(F.when(cover, "cover_or_credits").otherwise(F.col("late")).alias("drop_reason")).agg(F.count("*").alias("pages"))
 
 
 @query("chunk_quality_flags", FLAGS)
